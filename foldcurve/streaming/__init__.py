@@ -1,0 +1 @@
+"""Nothing here: the evaluation work is batch only."""
