@@ -6,7 +6,7 @@ An expression is a number, a column name, or a tuple (function name, operand,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +20,14 @@ Expression = float | int | str | tuple
 CHUNK = 200
 
 
-def compile_expr(tree: Expression, columns: Sequence[str]) -> Column:
+def compile_expr(tree: Expression, columns: Sequence[str] | Mapping[str, Column]) -> Column:
+    """The column of an expression. `columns` lists the usable names, or maps them to columns."""
     if isinstance(tree, (int, float)):
         return F.lit(float(tree))
     if isinstance(tree, str):
         if tree not in columns:
             raise ValueError(f"no column {tree} in this table")
-        return F.col(f"`{tree}`").cast("double")
+        return columns[tree] if isinstance(columns, Mapping) else F.col(f"`{tree}`").cast("double")
     name, *operands = tree
     if name not in FUNCTIONS:
         raise ValueError(f"no function {name}")
@@ -66,7 +67,7 @@ def chunks(items: Sequence, size: int) -> Iterator[tuple[int, Sequence]]:
         yield start, items[start : start + size]
 
 
-def population_scores(df: DataFrame, trees: Sequence[Expression], columns: Sequence[str], keep: Sequence[str], first: int = 0) -> DataFrame:
+def population_scores(df: DataFrame, trees: Sequence[Expression], columns: Sequence[str] | Mapping[str, Column], keep: Sequence[str], first: int = 0) -> DataFrame:
     """(keep, candidate, p): raw value of every expression on every row, from one scan."""
     values = F.array(*[compile_expr(t, columns) for t in trees])
     out = df.select(*keep, F.posexplode(values).alias("candidate", "p"))
@@ -84,7 +85,7 @@ def area_fitness(scored: DataFrame, keys: list[str], label: str, score: str) ->
 def population_auc(
     df: DataFrame,
     trees: Sequence[Expression],
-    columns: Sequence[str],
+    columns: Sequence[str] | Mapping[str, Column],
     label: str = "y",
     keys: Sequence[str] = (),
     fitness: Fitness = area_fitness,
