@@ -22,7 +22,8 @@ def _guarded(pick: Callable[..., Column]) -> Callable[..., Column]:
 
 
 def _divide(a: Column, b: Column, x: Column | None) -> Column:
-    return F.when(~F.isnan(b) & (F.abs(b) > SMALLEST_DIVISOR), a / b).otherwise(F.lit(1.0))
+    # try_divide: a shared quotient may be computed ahead of the test.
+    return F.when(~F.isnan(b) & (F.abs(b) > SMALLEST_DIVISOR), F.try_divide(a, b)).otherwise(F.lit(1.0))
 
 
 @dataclass(frozen=True)

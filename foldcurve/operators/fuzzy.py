@@ -147,7 +147,7 @@ def memberships(value: Column, lo: Column, hi: Column, n_sets: int) -> list[Colu
     domain belong fully to the set at that end.
     """
     width = (hi - lo) / (n_sets - 1)
-    place = F.least(F.greatest((value - lo) / width, F.lit(0.0)), F.lit(float(n_sets - 1)))
+    place = F.least(F.greatest(F.try_divide(value - lo, width), F.lit(0.0)), F.lit(float(n_sets - 1)))
     return [
         F.when(value <= lo, F.lit(1.0 if k == 0 else 0.0))
         .when(value >= hi, F.lit(1.0 if k == n_sets - 1 else 0.0))

@@ -11,14 +11,19 @@ that more cells must be searched.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The functions below travel with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 32
 BLOCK = 2048
 # Relative slack on distance bounds, wider than the rounding of a sum.
@@ -204,14 +209,14 @@ def nearest_neighbors(
 def neighbor_probability(neighbors: DataFrame, keys: Sequence[str], label: str = "y") -> DataFrame:
     """(keys, p, yhat): votes weighted by inverse distance; rows at distance 0 alone decide where there are any."""
     zero = F.col("distance") == 0
-    weight = F.when(F.col("distance") > 0, 1 / F.col("distance"))
+    weight = F.try_divide(F.lit(1.0), F.col("distance"))
     sums = neighbors.groupBy(*keys).agg(
         F.count_if(zero).alias("__same"),
         F.sum(F.when(zero, F.col(label))).alias("__same_y"),
         F.sum(weight).alias("__w"),
         F.sum(weight * F.col(label)).alias("__wy"),
     )
-    p = F.when(F.col("__same") > 0, F.col("__same_y") / F.col("__same")).otherwise(F.col("__wy") / F.col("__w"))
+    p = F.when(F.col("__same") > 0, F.try_divide("__same_y", "__same")).otherwise(F.try_divide("__wy", "__w"))
     return sums.select(*keys, p.alias("p"), (p > 0.5).cast("int").alias("yhat"))
 
 

@@ -49,8 +49,8 @@ def roc_points(
         F.expr("through_neg as fp"),
         F.expr("total_pos as positives"),
         F.expr("total_neg as negatives"),
-        F.expr("case when total_pos > 0 then through_pos / total_pos end as tpr"),
-        F.expr("case when total_neg > 0 then through_neg / total_neg end as fpr"),
+        F.expr("try_divide(through_pos, total_pos) as tpr"),
+        F.expr("try_divide(through_neg, total_neg) as fpr"),
     )
 
 
@@ -77,10 +77,9 @@ def _area_sums() -> list[Column]:
     return _whole_sum("neg", "2 * tp - pos", "__area")
 
 
-AREA = f"""
-case when positives > 0 and negatives > 0
-     then {_joined('__area')} / (2.0d * double(positives) * double(negatives)) end
-"""
+# Division here is try_divide throughout: Spark may compute a shared sub-expression
+# ahead of the test that guards it, and plain division by zero is an error.
+AREA = f"try_divide({_joined('__area')}, 2.0d * double(positives) * double(negatives))"
 
 
 def _counts() -> list[Column]:
@@ -94,10 +93,10 @@ def sensitivity_at(level: float) -> Column:
         raise ValueError("a specificity level lies between 0 and 1")
     if x == 1:
         return F.max("tpr")
-    x0, y0, at = "((fp - neg) / negatives)", "((tp - pos) / positives)", f"{x!r}d"
+    x0, y0, at = "try_divide(fp - neg, negatives)", "try_divide(tp - pos, positives)", f"{x!r}d"
     return F.expr(
         f"max(case when positives > 0 and neg > 0 and {x0} <= {at} and fpr > {at}"
-        f" then (tpr - {y0}) / (fpr - {x0}) * ({at} - {x0}) + {y0} end)"
+        f" then try_divide(tpr - {y0}, fpr - {x0}) * ({at} - {x0}) + {y0} end)"
     )
 
 
@@ -114,8 +113,8 @@ def standard_error(auc: str = "AUC") -> str:
     """Standard error of an area under the curve (Hanley and McNeil, 1982), as SQL text."""
     square = f"({auc} * {auc})"
     return (
-        f"sqrt(({auc} * (1 - {auc}) + (positives - 1) * ({auc} / (2 - {auc}) - {square})"
-        f" + (negatives - 1) * (2 * {square} / (1 + {auc}) - {square})) / (positives * double(negatives)))"
+        f"sqrt(try_divide({auc} * (1 - {auc}) + (positives - 1) * ({auc} / (2 - {auc}) - {square})"
+        f" + (negatives - 1) * (2 * {square} / (1 + {auc}) - {square}), double(positives) * double(negatives)))"
     )
 
 
@@ -125,7 +124,7 @@ def normal_quantile(alpha: float) -> float:
 
 def share_half_width(share: str, rows: str) -> str:
     """Half of the simple asymptotic interval of a share seen over `rows` rows, as SQL text."""
-    return f"{SIMPLE_Z}d * sqrt({share} * (1 - {share}) / {rows})"
+    return f"{SIMPLE_Z}d * sqrt(try_divide({share} * (1 - {share}), {rows}))"
 
 
 def _interval(center: str, half: str, name: str) -> list[str]:
@@ -141,7 +140,7 @@ def auc(predictions: DataFrame, keys: Sequence[str] = ("model",), label: str = "
 
 def auc_interval(areas: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Add SE, AucCI_lo, AucCI_hi to rows with auc, positives, negatives."""
-    rated = areas.withColumn("SE", F.expr(f"case when auc is not null then {standard_error('auc')} end"))
+    rated = areas.withColumn("SE", F.expr(standard_error("auc")))
     return rated.selectExpr("*", *_interval("auc", f"{normal_quantile(alpha)!r}d * SE", "AucCI"))
 
 
@@ -199,7 +198,7 @@ def roc_report(
     named = sums.select(
         "*", F.expr(f"{AREA} as AUC"), F.expr("best.sensitivity as OpSen"), F.expr("best.specificity as OpSpe")
     )
-    rated = named.withColumn("SE", F.expr(f"case when AUC is not null then {standard_error()} end"))
+    rated = named.withColumn("SE", F.expr(standard_error()))
     columns = [
         *[f"SensLevel{i}" for i in range(len(levels))],
         "AUC",
@@ -220,5 +219,5 @@ def auc_rank_sum(predictions: DataFrame, keys: Sequence[str] = ("model",), label
     rank = "2 * (positives + negatives - tp - fp) + pos + neg + 1"
     sums = points.groupBy(*keys).agg(*_counts(), *_whole_sum("pos", rank, "__rank"))
     p, n = "double(positives)", "double(negatives)"
-    area = f"case when positives > 0 and negatives > 0 then ({_joined('__rank')} - {p} * ({p} + 1)) / (2.0d * {p} * {n}) end"
+    area = f"try_divide({_joined('__rank')} - {p} * ({p} + 1), 2.0d * {p} * {n})"
     return sums.select(*keys, "positives", "negatives", F.expr(f"{area} as auc"))

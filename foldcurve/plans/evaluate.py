@@ -25,6 +25,7 @@ from foldcurve.operators.ranking import best_cell, mean_scores, weakest
 from foldcurve.operators.roc import auc
 from foldcurve.plans.estimators import FEATURES, KEY, LABEL, NeighborsModel, Standardize, add_scores
 from foldcurve.plans.registry import TOLERANCE, Fit, ModelSpec
+from foldcurve.session import cut_lineage
 
 
 @dataclass
@@ -127,7 +128,8 @@ def inner_scores(
                 )
         finally:
             rows.unpersist()
-    return auc(reduce(DataFrame.unionByName, parts), ["inner", "cell"])
+    # Written once: the curves read their points several times, the models should score once.
+    return auc(cut_lineage(reduce(DataFrame.unionByName, parts)), ["inner", "cell"])
 
 
 def fuzzy_rows(df: DataFrame, columns: Sequence[str], domain: DataFrame, n_sets: int, fold: int) -> tuple[DataFrame, list[str]]:
