@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldcurve.functions.ordering import sortable_bits
+from foldcurve.functions.ordering import with_sortable_bits
 from foldcurve.operators.running import CELL_ROWS, running_totals
 
 LEVELS = (0.90, 0.75)
@@ -33,10 +33,12 @@ def roc_points(
     that many rows share costs one row per task.
     """
     keys = list(keys)
+    known = predictions.select(
+        *keys, F.col(label).cast("long").alias("__y"), F.col(score).cast("double").alias("threshold")
+    ).where("__y is not null and threshold is not null")
     counts = (
-        predictions.select(*keys, F.col(label).cast("long").alias("__y"), F.col(score).cast("double").alias("threshold"))
-        .where("__y is not null and threshold is not null")
-        .groupBy(*keys, "threshold", (-sortable_bits("threshold")).alias("__order"))
+        with_sortable_bits(known, "threshold", "__bits")
+        .groupBy(*keys, "threshold", F.expr("-__bits as __order"))
         .agg(F.expr("sum(__y) as pos"), F.expr("sum(1 - __y) as neg"))
     )
     swept = running_totals(counts, keys, "__order", ["pos", "neg"], with_start=True, cell_rows=cell_rows)

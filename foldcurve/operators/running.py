@@ -11,10 +11,8 @@ all totals are whole numbers, so a recomputed task gives the same result.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELL_ROWS = 1 << 20
@@ -23,12 +21,8 @@ CELL_SHIFT, PART_SHIFT, PART_MASK = 42, 21, (1 << 21) - 1
 CELL, PART = "__cell", "__part"
 
 
-def _total(name: str) -> str:
-    return f"total_{name}"
-
-
-def _through(name: str) -> str:
-    return f"through_{name}"
+def _window(group: Sequence[str], order: str, frame: str) -> str:
+    return f"over (partition by {', '.join(group) or '0'} order by {order} rows between unbounded preceding and {frame})"
 
 
 def _carry(rows: DataFrame, starts: DataFrame, group: list[str], order: list[str], sums: list[str]) -> DataFrame:
@@ -37,16 +31,12 @@ def _carry(rows: DataFrame, starts: DataFrame, group: list[str], order: list[str
     A start row has no order value, so it is first in its group; adding it as a
     row needs one shuffle of `rows` where a join and a window would need two.
     """
-    inside = (
-        Window.partitionBy(*group)
-        .orderBy(*[F.col(c).asc_nulls_first() for c in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = _window(group, ", ".join(f"{c} asc nulls first" for c in order), "current row")
     both = rows.unionByName(starts, allowMissingColumns=True)
-    return both.select(
-        *[c for c in both.columns if not c.startswith("total_")],
-        *[F.sum(s).over(inside).alias(_through(s)) for s in sums],
-        *[F.first(_total(s)).over(inside).alias(_total(s)) for s in sums],
+    return both.selectExpr(
+        *[f"`{c}`" for c in both.columns if not c.startswith("total_")],
+        *[f"sum({s}) {inside} as through_{s}" for s in sums],
+        *[f"first(total_{s}) {inside} as total_{s}" for s in sums],
     )
 
 
@@ -66,65 +56,54 @@ def running_totals(
     values. `sums` are whole numbers, not negative, and not all zero in a row.
     With `with_start` each key group also gets a first row of zeros.
     """
-    keys, sums = list(keys), list(sums)
-    base = df.withColumn(CELL, F.shiftright(order, CELL_SHIFT))
+    keys, sums = [f"`{c}`" for c in keys], list(sums)
+    base = df.selectExpr("*", f"shiftright(`{order}`, {CELL_SHIFT}) as {CELL}")
+    grouped = [F.expr(f"sum({s}) as {s}") for s in sums]
 
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CELL)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, whole = _window(keys, CELL, "1 preceding"), _window(keys, CELL, "unbounded following")
     cells = (
         base.groupBy(*keys, CELL)
-        .agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(s).alias(s) for s in sums])
-        .select(
+        .agg(F.expr("count(1) as __rows"), *grouped)
+        .selectExpr(
             *keys,
             CELL,
             "__rows",
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums],
-            *[F.sum(s).over(whole).alias(_total(s)) for s in sums],
+            *[f"coalesce(sum({s}) {before}, 0L) as {s}" for s in sums],
+            *[f"sum({s}) {whole} as total_{s}" for s in sums],
         )
     )
 
     # A cell with more rows is cut again. At most rows / cell_rows cells are this
     # full, which bounds the broadcast. Reading all totals in the test keeps this
     # branch on the same shuffle as the others.
-    over = F.expr(" and ".join([f"__rows > {cell_rows}", *[f"{_total(s)} >= 0" for s in sums]]))
+    over = " and ".join([f"__rows > {cell_rows}", *[f"total_{s} >= 0" for s in sums]])
     names = {c: f"__full_{i}" for i, c in enumerate([*keys, CELL])}
-    full = cells.where(over).select(*[F.col(c).alias(n) for c, n in names.items()])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
-    part = F.expr(f"shiftright(`{order}`, {PART_SHIFT}) & {PART_MASK}L")
-    whole_cell = F.lit(-1).cast("long")
-
-    parts = (
-        base.join(F.broadcast(full), same)
-        .groupBy(*keys, CELL, part.alias(PART))
-        .agg(*[F.sum(s).alias(s) for s in sums])
-    )
+    full = cells.where(over).selectExpr(*[f"{c} as {n}" for c, n in names.items()])
+    same = F.expr(" and ".join(f"{c} <=> {n}" for c, n in names.items()))
+    part = f"shiftright(`{order}`, {PART_SHIFT}) & {PART_MASK}L"
+
+    parts = base.join(F.broadcast(full), same).groupBy(*keys, CELL, F.expr(f"{part} as {PART}")).agg(*grouped)
+    totals = [f"total_{s}" for s in sums]
     placed = _carry(parts, cells.where(over).drop("__rows"), [*keys, CELL], [PART], sums)
     starts = (
-        placed.where(F.col(PART).isNotNull())
-        .select(
-            *keys,
-            CELL,
-            PART,
-            *[F.expr(f"{_through(s)} - {s} as {s}") for s in sums],
-            *[F.col(_total(s)) for s in sums],
-        )
-        .unionByName(cells.where(~over).drop("__rows").withColumn(PART, whole_cell))
+        placed.where(f"{PART} is not null")
+        .selectExpr(*keys, CELL, PART, *[f"through_{s} - {s} as {s}" for s in sums], *totals)
+        .unionByName(cells.where(f"not ({over})").selectExpr(*keys, CELL, f"-1L as {PART}", *sums, *totals))
     )
-    rows = (
-        base.join(F.broadcast(full), same, "left")
-        .withColumn(PART, F.when(F.col(names[CELL]).isNotNull(), part).otherwise(whole_cell))
-        .drop(*names.values())
+    rows = base.join(F.broadcast(full), same, "left").selectExpr(
+        *[f"`{c}`" for c in base.columns], f"if({names[CELL]} is null, -1L, {part}) as {PART}"
     )
-    out = _carry(rows, starts, [*keys, CELL, PART], [order, *ties], sums)
+    out = _carry(rows, starts, [*keys, CELL, PART], [f"`{order}`", *[f"`{c}`" for c in ties]], sums)
     keep = f"`{order}` is not null"
     if with_start:
-        keep += " or (" + " and ".join(f"{_through(s)} = 0" for s in sums) + ")"
+        keep += " or (" + " and ".join(f"through_{s} = 0" for s in sums) + ")"
     return out.where(keep).drop(CELL, PART)
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str, *, ties: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
+def ordinal(
+    df: DataFrame, keys: Sequence[str], order: str, name: str, *, ties: Sequence[str] = (), cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Add the 1-based position of each row inside its key group, ordered by the LONG `order`."""
-    counted = df.withColumn("__one", F.lit(1).cast("long"))
+    counted = df.selectExpr("*", "1L as __one")
     out = running_totals(counted, keys, order, ["__one"], ties=ties, cell_rows=cell_rows)
-    return out.withColumn(name, F.col("through___one")).drop("__one", "through___one", "total___one")
+    return out.withColumnRenamed("through___one", name).drop("__one", "total___one")

@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from foldcurve.functions.ordering import sortable_bits
+from foldcurve.functions.ordering import with_sortable_bits
 from foldcurve.operators import roc
 from foldcurve.operators.running import ordinal, running_totals
 
@@ -23,7 +23,7 @@ def test_sortable_bits_equal_the_bits_of_the_number(spark):
     values += [random.uniform(-1, 1) * 10 ** random.randint(-300, 300) for _ in range(500)]
     values += [2.0**k * s for k in range(-1074, 1024, 7) for s in (1, -1)]
     values += [2.0**k * (1 - 2**-53) for k in range(-1000, 1024, 9)]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sortable_bits("v").alias("b")).collect()
+    rows = with_sortable_bits(spark.createDataFrame([(v,) for v in values], "v double"), "v", "b").collect()
     assert all(r.b == bits(r.v) for r in rows)
 
 
