@@ -43,8 +43,9 @@ def read_features(
 ) -> DataFrame:
     """Feature columns, `y` and `row_id`.
 
-    `row_id` is the table's own key column. Without one the rows have no stable
-    identity on a cluster; pass `key` wherever results are joined back.
+    `row_id` is the table's own key column. Without one it is a hash of the whole
+    row, which does not change between reads but is shared by identical rows:
+    pass `key` for any table that may hold the same row twice.
     """
     df = read_table(spark, path, format, schema)
     columns = feature_names(df, label, [key] if key else []) if columns is None else list(columns)

@@ -134,7 +134,7 @@ def test_population_chunks_agree(rows):
 
 
 def test_search_is_seeded_and_bred_trees_are_valid(rows):
-    settings = Search(population=12, generations=2, tournament=3, stop_at=None)
+    settings = Search(population=8, generations=2, tournament=3, start_depth=(2, 3), stop_at=None)
     columns = {c: F.col(c) for c in COLUMNS}
     found = symbolic_search(rows, columns, settings)
     assert found == symbolic_search(rows, columns, settings)
