@@ -367,3 +367,18 @@ def tag(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFram
 
     schema = "doc_id long, score double, predicted int, spans array<struct<start:int,stop:int,p:double>>"
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below the threshold."""
+    state = (model.weights, model.bias, model.step, model.scale, model.shift)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(*state)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            lost, *_ = own.losses([[own.weight(w) for w in TOKEN.findall(t.lower())] if t else [] for t in texts])
+            yield batch.filter(pa.array(own.scores(lost) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
