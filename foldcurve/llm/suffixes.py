@@ -4,18 +4,18 @@ A byte goes if it is covered by a string of 50 bytes that also starts in a docum
 a smaller doc_id. Suffixes are sampled, and no match is lost by that: every window of 50
 bytes has an anchor, the 20 bytes in it whose hash is least (the first of equals), so
 equal windows have equal anchors. Neighbouring windows with one anchor form a strip of
-80 bytes at most, and strips are dealt to shards by the hash of their anchor: equal
+84 bytes at most, and strips are dealt to shards by the hash of their anchor: equal
 windows meet in one shard.
 
-Before the shuffle, each Arrow batch settles what repeats inside it: of equal strips the
+Before the shuffle, each block of documents settles what repeats inside it: of equal strips the
 smallest document's is sent, the others are removed at once, so a passage that many
-documents share costs a shard one strip per batch. A shard drops strips whose anchor no
+documents share costs a shard one strip per block. A shard drops strips whose anchor no
 other document has, settles equal strips, and indexes the rest: strips come in batches by
 doc_id; each batch gets the sorted array of its window suffixes, which is merge-scanned
 against all existing levels for 50-byte matches and becomes a level itself; levels of
 about equal size are merged, so their number grows with the logarithm of the batches.
 
-What is shuffled is the strips, packed and compressed per batch and shard, then the
+What is shuffled is the strips, packed and compressed per block and shard, then the
 removed ranges, then the texts once, to meet their ranges. Shards follow the session's
 shuffle partitions, so a shard's size stays the same when those are sized to the data.
 
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from foldcurve.llm.common import partitions, written
 
 MATCH = 50
-ANCHOR = 20
+ANCHOR = 16
 SHARDS_PER_PARTITION = 4
-#: Bytes of documents whose windows are hashed at once.
+#: Bytes of documents that are cut into strips at once.
 BLOCK_BYTES = 4 << 20
 #: Batches that a shard's strips come in.
 BATCHES = 8
@@ -59,11 +59,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     two = b[:-1] | (b[1:] << np.uint64(8))
     four = two[:-2] | (two[2:] << np.uint64(16))
     eight = four[:-4] | (four[4:] << np.uint64(32))
-    n = len(data) - ANCHOR + 1
+    return pair_hashes(eight[:-8], eight[8:])
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of ANCHOR bytes given as two little-endian words."""
     with np.errstate(over="ignore"):
-        z = mixed(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        z = mixed(z * np.uint64(0xD1B54A32D192ED03) + eight[8 : n + 8])
-        return mixed(z * np.uint64(0xA0761D6478BD642F) + four[16 : n + 16])
+        return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xD1B54A32D192ED03))
+
+
+def anchor_hashes(contents: list[bytes], marks: list[int]) -> np.ndarray:
+    """Hashes of the anchors of strips."""
+    pairs = np.frombuffer(b"".join([c[m : m + ANCHOR] for c, m in zip(contents, marks)]), "<u8").reshape(-1, 2)
+    return pair_hashes(pairs[:, 0], pairs[:, 1])
 
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
@@ -81,29 +89,35 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return away
 
 
-def strips(texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(text, start, stop, anchor) of the strips of each text, block by block of whole texts."""
+def strips(texts: list[bytes]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of the strips of the texts: which text, start, stop and anchor."""
+    lengths = np.array([len(t) for t in texts])
+    if lengths.sum() < MATCH:
+        return [], [], [], []
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    away = anchors(gram_hashes(data))
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    n = len(data) - MATCH + 1
+    inside = owner[:n] == owner[MATCH - 1 :]
+    anchor = np.arange(n, dtype=np.int32) + away[:n]
+    first = inside & np.concatenate([[True], ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])])
+    last = inside & np.concatenate([first[1:] | ~inside[1:], [True]])
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    own = owner[a]
+    base = begins[own]
+    return own.tolist(), (a - base).tolist(), (b - base + MATCH).tolist(), (anchor[a] - base).tolist()
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about BLOCK_BYTES in all, one text at least."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_BYTES):
             size += len(texts[end])
             end += 1
-        lengths = np.array([len(t) for t in texts[at:end]])
-        if size >= MATCH:
-            data = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-            away = anchors(gram_hashes(data))
-            starts_of = np.concatenate([[0], np.cumsum(lengths)])
-            owner = np.repeat(np.arange(end - at), lengths)
-            n = len(data) - MATCH + 1
-            inside = owner[:n] == owner[MATCH - 1 :]
-            anchor = np.arange(n) + away[:n]
-            first = inside & np.concatenate([[True], ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])])
-            last = inside & np.concatenate([first[1:] | ~inside[1:], [True]])
-            a, b = np.flatnonzero(first), np.flatnonzero(last)
-            own = owner[a]
-            base = starts_of[own]
-            yield from zip((own + at).tolist(), (a - base).tolist(), (b - base + MATCH).tolist(), (anchor[a] - base).tolist())
+        yield at, end
         at = end
 
 
@@ -123,53 +137,58 @@ def ranges_bytes(ranges: list[tuple[int, int]]) -> bytes:
     return np.array(merged(ranges), np.uint32).tobytes()
 
 
+def block_rows(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, shards: int) -> list[tuple]:
+    """What one block of documents, in order of their ids, sends to the shards."""
+    id_list = ids.tolist()
+    seen: dict[bytes, int] = {}
+    settled: dict[int, list[tuple[int, int]]] = {}
+    rows, starts, marks, contents = [], [], [], []
+    for i, a, b, p in zip(*strips(texts)):
+        content = texts[i][a:b]
+        owner = seen.setdefault(content, id_list[i])
+        if owner != id_list[i]:
+            settled.setdefault(i, []).append((a, b))
+            continue
+        rows.append(i)
+        starts.append(a)
+        marks.append(p - a)
+        contents.append(content)
+    del seen
+    out: list[tuple] = [(id_list[i] % shards, id_list[i], int(hashes[i]), ranges_bytes(r)) for i, r in settled.items()]
+    if not rows:
+        return out
+    shard = (anchor_hashes(contents, marks) >> np.uint64(20)) % np.uint64(shards)
+    by = np.argsort(shard, kind="stable")
+    shard, row = shard[by], np.array(rows)[by]
+    start, mark = np.array(starts, np.uint32)[by], np.array(marks, np.uint8)[by]
+    ordered = [contents[k] for k in by.tolist()]
+    length = np.array([len(c) for c in ordered], np.uint8)
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist()
+    press = zstandard.ZstdCompressor(level=3)
+    for x, y in zip(cuts, cuts[1:]):
+        part = row[x:y]
+        columns = (np.array([y - x], np.uint32), ids[part], hashes[part], start[x:y], mark[x:y], length[x:y])
+        out.append((int(shard[x]), None, None, press.compress(b"".join([c.tobytes() for c in columns] + ordered[x:y]))))
+    return out
+
+
 SENT = "shard int, doc_id long, hash long, payload binary"
 
 
 def sent(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows for shards (doc_id null, packed strips) and ranges that a batch has settled itself (doc_id set)."""
+    """Rows for shards (doc_id null, packed strips) and ranges that a block has settled itself (doc_id set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             order = np.argsort(ids, kind="stable")
             texts = [(batch.column(2)[int(i)].as_py() or "").encode() for i in order]
             ids, hashes = ids[order], hashes[order]
-            id_list = ids.tolist()
-            seen: dict[bytes, int] = {}
-            settled: dict[int, list[tuple[int, int]]] = {}
-            rows, starts, marks, contents = [], [], [], []
-            for i, a, b, p in strips(texts):
-                content = texts[i][a:b]
-                owner = seen.setdefault(content, id_list[i])
-                if owner != id_list[i]:
-                    settled.setdefault(i, []).append((a, b))
-                    continue
-                rows.append(i)
-                starts.append(a)
-                marks.append(p - a)
-                contents.append(content)
-            out: list[tuple] = [(int(hashes[i] % shards), int(ids[i]), int(hashes[i]), ranges_bytes(r)) for i, r in settled.items()]
-            if rows:
-                grams = np.frombuffer(b"".join([c[m : m + ANCHOR] for c, m in zip(contents, marks)]), np.uint8)
-                h = gram_hashes(grams)[::ANCHOR]
-                shard = (h >> np.uint64(20)) % np.uint64(shards)
-                by = np.argsort(shard, kind="stable")
-                row = np.array(rows)[by]
-                start, mark = np.array(starts, np.uint32)[by], np.array(marks, np.uint8)[by]
-                length = np.array([len(c) for c in contents], np.uint8)[by]
-                ordered = [contents[k] for k in by.tolist()]
-                shard = shard[by]
-                cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    part = row[x:y]
-                    head = np.array([y - x], np.uint32).tobytes()
-                    body = head + ids[part].tobytes() + hashes[part].tobytes() + start[x:y].tobytes() + mark[x:y].tobytes() + length[x:y].tobytes() + b"".join(ordered[x:y])
-                    out.append((int(shard[x]), None, None, press.compress(body)))
-            if out:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["shard", "doc_id", "hash", "payload"])
+            for a, b in blocks(texts):
+                out = block_rows(texts[a:b], ids[a:b], hashes[a:b], shards)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["shard", "doc_id", "hash", "payload"])
 
     known = docs.where("doc_id is not null")
     return known.select("doc_id", "hash", "text").mapInArrow(run, SENT)
@@ -274,7 +293,7 @@ def shard_ranges(table: pa.Table) -> pa.Table:
     if contents:
         doc, text_hash, start = np.concatenate(ids), np.concatenate(hashes), np.concatenate(starts)
         mark = np.concatenate(marks).tolist()
-        h = gram_hashes(np.frombuffer(b"".join([c[m : m + ANCHOR] for c, m in zip(contents, mark)]), np.uint8))[::ANCHOR]
+        h = anchor_hashes(contents, mark)
         keep = shared(h, doc)
         keep = keep[np.argsort(doc[keep], kind="stable")]
         seen: dict[bytes, int] = {}
@@ -305,21 +324,25 @@ def shared(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text) and ranges: arrays of packed (start, stop) pairs in bytes."""
+    """For `hashed` documents, doc_id, hash and ranges: arrays of packed (start, stop) pairs in bytes."""
     shards = SHARDS_PER_PARTITION * partitions(docs.sparkSession)
-    found = sent(hashed(docs), shards).groupBy("shard").applyInArrow(shard_ranges, "doc_id long, hash long, ranges binary")
+    found = sent(docs, shards).groupBy("shard").applyInArrow(shard_ranges, "doc_id long, hash long, ranges binary")
     return written(found).groupBy("doc_id", "hash").agg(F.collect_list("ranges").alias("ranges"))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    """doc_id, hash, text: the hash tells rows apart that share an id, and is 0 for all others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = written(rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again")))
+    own = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.join(again, "doc_id", "left").select("doc_id", own.alias("hash"), "text")
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes where `with_text`; one row per document."""
+    docs = hashed(docs)
     ranges = removed_ranges(docs)
-    both = hashed(docs).join(ranges, ["doc_id", "hash"], "left").select("doc_id", "text", "ranges")
+    both = docs.join(ranges, ["doc_id", "hash"], "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
