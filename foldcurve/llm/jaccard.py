@@ -10,8 +10,9 @@ counts of a pair are added up over blocks. Bounds by size keep the product small
   common ones there (r: 3, or less for sets that small). Frequent shingles come last in
   the order, so that common passages stay out of the product.
 
-Counts of frequent shingles come from every document; they only set the order, which may
-be any, so results never depend on them. Equal sets are one row of the matrix. Pairs go
+Shingles are counted over all documents, in the same blocks; the most frequent ones,
+their number bounded, are sent to all tasks. They only set the order, which may be any,
+so results never depend on them. Equal sets are one row of the matrix. Pairs go
 in two rounds. The first compares each document with one other, the smallest id of the
 lists they share most of; documents found linked are then one component. The second
 compares all pairs of *different* components that pass the bounds, so a group of near
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -43,11 +45,11 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COMMON = 3
-#: A shingle is frequent if this share of a task's documents holds it (and a few at least).
-FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 16
-#: Frequent shingles that the order knows: eight bytes each. More would change the speed alone.
-FREQUENT_KEPT = 100_000
-COUNTER_ENTRIES = 4_000_000
+#: Most frequent shingles that the order knows, twelve bytes each, and the least count of one. Both change the
+#: speed alone: any order gives the same links.
+FREQUENT_KEPT, FREQUENT_LEAST = 1_000_000, 4
+#: Bits of a hash that counting tells apart inside a block.
+COUNTED_BITS = 40
 BLOCKS_PER_PARTITION = 2
 #: Documents compared with one leader in one group.
 LEADER_GROUP = 512
@@ -84,15 +86,46 @@ def least_overlap(n: np.ndarray | int):
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+class Frequent:
+    """Ranks of the most frequent shingles: hashes are told apart by their block and COUNTED_BITS of them."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, blocks: int):
+        order = np.argsort(keys)
+        self.keys, self.blocks = keys[order], np.uint64(blocks)
+        # Rarer shingles rank first; equal counts rank by key.
+        by_count = np.lexsort((self.keys, counts[order]))
+        self.ranks = np.empty(len(keys), np.int32)
+        self.ranks[by_count] = np.arange(len(keys), dtype=np.int32)
+        self.marked = np.zeros(1 << 22, bool)
+        self.marked[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def rank(self, found: np.ndarray) -> np.ndarray:
+        """The rank of each hash, -1 for those not known as frequent."""
+        out = np.full(len(found), -1, np.int32)
+        at = np.flatnonzero(self.marked[(found & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if len(at):
+            keys = counted_key(found[at], self.blocks)
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = self.keys[place] == keys
+            out[at[same]] = self.ranks[place[same]]
+        return out
+
+
+def block_of(h: np.ndarray, blocks) -> np.ndarray:
+    return (h >> np.uint64(COUNTED_BITS)) % np.uint64(blocks)
+
+
+def counted_key(h: np.ndarray, blocks) -> np.ndarray:
+    return (block_of(h, blocks) << np.uint64(COUNTED_BITS)) | (h & np.uint64((1 << COUNTED_BITS) - 1))
+
+
+def prefix(found: np.ndarray, frequent: Frequent | None) -> np.ndarray:
     """The first shingles of a set in the common order: infrequent by hash, then frequent by rank."""
     n = len(found)
     need = least_overlap(n)
     length = n - need + min(COMMON, need)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent["h"], found), len(frequent) - 1)
-        rank = np.where(frequent["h"][at] == found, frequent["rank"][at], -1)
-        return found[np.argsort(rank, kind="stable")][:length]
+    if frequent is not None and len(frequent.keys):
+        found = found[np.argsort(frequent.rank(found), kind="stable")]
     return found[:length]
 
 
@@ -100,37 +133,65 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """A row per document with n and a key that equal sets share; and rows of frequent shingles with counts."""
+COUNTED = "block int, doc_id long, n long, key binary, h binary, c binary"
+
+
+def sets(docs: DataFrame, blocks: int) -> DataFrame:
+    """A row per document (doc_id, n, and a key that equal sets share), and rows of the most frequent shingles of a
+    block, packed with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "key", "shingle", "count"]
-        seen, n_docs = [], 0
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = [c.split()[0] for c in COUNTED.split(", ")]
         for batch in batches:
-            n, keys, all_found = [], [], []
+            n, keys, distinct = [], [], {}
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 n.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                all_found.append(found)
-            n_docs += len(n)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none, none], names)
-            h, count = np.unique(np.concatenate(all_found), return_counts=True)
-            often = count >= max(3, FREQUENT_SHARE / 2 * len(n))
-            seen.append((h[often], count[often]))
-        if seen:
-            h, back = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
-            count = np.bincount(back, np.concatenate([s[1] for s in seen]), len(h)).astype(np.int64)
-            often = count >= max(FREQUENT_LEAST, FREQUENT_SHARE * n_docs)
-            h, count = h[often].view(np.int64), count[often]
-            none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(h), pa.binary()), pa.array(h), pa.array(count)], names)
-
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n long, key binary, shingle long, count long")
-
-
-def postings(docs: DataFrame, frequent: np.ndarray, blocks: int) -> DataFrame:
+                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+                keys.append(key)
+                if key is not None:
+                    distinct[key] = found
+            blank = pa.nulls(len(n), pa.binary())
+            # Document rows go along to any block.
+            yield pa.RecordBatch.from_arrays([pa.array([i % blocks for i in range(len(n))], kinds[0]), batch.column(0), pa.array(n, kinds[1]), pa.array(keys, kinds[3]), blank, blank], names)
+            if not distinct:
+                continue
+            key = counted_key(np.concatenate(list(distinct.values())), blocks)
+            distinct.clear()
+            key, count = np.unique(key, return_counts=True)
+            block = (key >> np.uint64(COUNTED_BITS)).astype(np.int32)
+            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : COUNTED_BITS // 8]
+            count = np.minimum(count, 65535).astype("<u2")
+            starts, ends = runs(block)
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (low, count)]
+            none = pa.nulls(len(starts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), none, none, pa.nulls(len(starts), pa.binary()), *packed], names)
+
+    def count_block(table: pa.Table) -> pa.Table:
+        rows = table.filter(pc.is_null(table["h"]))
+        packed = table.filter(pc.is_valid(table["h"]))
+        size = COUNTED_BITS // 8
+        low = np.frombuffer(b"".join(packed["h"].to_pylist()), np.uint8).reshape(-1, size)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :size] = low
+        key, back = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
+        count = np.bincount(back, np.frombuffer(b"".join(packed["c"].to_pylist()), "<u2"), len(key)).astype(np.int64)
+        often = np.flatnonzero(count >= FREQUENT_LEAST)
+        most = -(-FREQUENT_KEPT // blocks)
+        if len(often) > most:
+            often = often[np.lexsort((key[often], -count[often]))[:most]]
+        full = key[often] | np.uint64((table["block"][0].as_py() if len(table) else 0) << COUNTED_BITS)
+        names = ["doc_id", "n", "key", "h", "c"]
+        kept = pa.Table.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([full.tobytes()], pa.binary()), pa.array([count[often].tobytes()], pa.binary())], names
+        )
+        return pa.concat_tables([rows.select(names), kept])
+
+    return ids_and_texts(docs).mapInArrow(run, COUNTED).groupBy("block").applyInArrow(count_block, "doc_id long, n long, key binary, h binary, c binary")
+
+
+def postings(docs: DataFrame, frequent, blocks: int) -> DataFrame:
     """Rows of the matrix cut into column blocks: a row per batch and block with packed hashes, ids and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +208,14 @@ def postings(docs: DataFrame, frequent: np.ndarray, blocks: int) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                first = prefix(found, frequent)
+                first = prefix(found, frequent.value)
                 firsts.append(first)
                 ids.append(np.full(len(first), doc_id, np.int64))
                 sizes.append(np.full(len(first), len(found), np.int32))
             if not firsts:
                 continue
             h, doc, n = np.concatenate(firsts), np.concatenate(ids), np.concatenate(sizes)
-            block = (h >> np.uint64(32)) % np.uint64(blocks)
+            block = block_of(h, blocks)
             order = np.argsort(block, kind="stable")
             h, doc, n, block = h[order], doc[order], n[order], block[order]
             starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -267,13 +328,13 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     spark = docs.sparkSession
     blocks = BLOCKS_PER_PARTITION * partitions(spark)
-    both = written(sets(docs))
+    both = written(sets(docs, blocks))
     rows = both.where("n is not null").select("doc_id", "n", "key")
-    often = both.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(FREQUENT_KEPT).collect()
-    frequent = np.zeros(len(often), [("h", np.uint64), ("rank", np.int64)])
-    frequent["h"] = np.array([r.shingle for r in often], np.int64).view(np.uint64)
-    frequent["rank"] = np.arange(len(often))[::-1]
-    frequent.sort(order="h")
+    # One row per block: FREQUENT_KEPT shingles at most in all.
+    often = both.where("h is not null").select("h", "c").collect()
+    keys = np.frombuffer(b"".join(bytes(r.h) for r in often), np.uint64)
+    counts = np.frombuffer(b"".join(bytes(r.c) for r in often), np.int64)
+    frequent = spark.sparkContext.broadcast(Frequent(keys, counts, blocks))
 
     # Equal sets: links to the smallest id.
     full = rows.where("doc_id is not null and key is not null")
