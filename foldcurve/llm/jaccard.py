@@ -196,18 +196,18 @@ def postings(docs: DataFrame, frequent, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple] = set()
-            firsts, ids, sizes = [], [], []
+            # Of equal sets the representative, which has the smallest id, is needed: a batch keeps its smallest.
+            least: dict[bytes, tuple[int, np.ndarray]] = {}
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 doc_id = doc_id.as_py()
                 found = shingles(text.as_py())
                 if doc_id is None or not len(found):
                     continue
-                # Of equal sets, the representative alone is needed; here one per batch stays.
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if key in seen:
-                    continue
-                seen.add(key)
+                if key not in least or doc_id < least[key][0]:
+                    least[key] = doc_id, found
+            firsts, ids, sizes = [], [], []
+            for doc_id, found in least.values():
                 first = prefix(found, frequent.value)
                 firsts.append(first)
                 ids.append(np.full(len(first), doc_id, np.int64))
