@@ -2,7 +2,7 @@
 
 A byte goes if it is covered by a string of 50 bytes that also starts in a document with
 a smaller doc_id. Suffixes are sampled, and no match is lost by that: every window of 50
-bytes has an anchor, the 20 bytes in it whose hash is least (the first of equals), so
+bytes has an anchor, the 16 bytes in it whose hash is least (the first of equals), so
 equal windows have equal anchors. Neighbouring windows with one anchor form a strip of
 84 bytes at most, and strips are dealt to shards by the hash of their anchor: equal
 windows meet in one shard.
