@@ -29,15 +29,21 @@ def stratified_folds(
     *,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Deal the rows of each class out to `n_folds` folds, so sizes differ by one at most.
+    """Deal the rows out to `n_folds` folds, so that the sizes of folds and of their classes differ by one at most.
 
+    A class is dealt on from the fold at which the classes before it ended.
     Rows are dealt in hash order of the key; with seed None in key order, which
     needs a LONG key. Every class may be large: positions come from running
     totals over cells, not from one window per class.
     """
     order = F.xxhash64(key, F.lit(seed)) if seed is not None else F.col(key).cast("long")
     placed = ordinal(df.withColumn("__deal", order), [label], "__deal", "__nth", ties=[key], cell_rows=cell_rows)
-    return placed.withColumn(name, F.expr(f"int((__nth - 1) % {n_folds})")).drop("__deal", "__nth")
+    # One row per class.
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.col(label).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(label).alias("__class"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    dealt = placed.join(starts, F.col(label).eqNullSafe(F.col("__class")))
+    return dealt.withColumn(name, F.expr(f"int((__start + __nth - 1) % {n_folds})")).drop("__deal", "__nth", "__class", "__start")
 
 
 def fold_roles(df: DataFrame, n_folds: int, part: str = "part", valid: bool = True) -> DataFrame:

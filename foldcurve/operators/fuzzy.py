@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,6 @@ from foldcurve.operators.folds import training_ranges
 from foldcurve.operators.scale import by_fold, fitted
 
 REAL, CATEGORICAL = "real", "categorical"
-MAX_CATEGORIES = 10_000
 
 DOMAIN = T.StructType(
     [
@@ -43,13 +42,23 @@ def column_kinds(df: DataFrame, columns: Sequence[str], kinds: Mapping[str, str]
     return found
 
 
+def is_missing(df: DataFrame, column: str) -> Column:
+    """Null, or NaN in a column of floating point numbers."""
+    value = F.col(f"`{column}`")
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return value.isNull() | F.isnan(value) if floating else value.isNull()
+
+
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(columns))
+    """Rows without a missing value in the columns."""
+    for c in columns:
+        df = df.where(~is_missing(df, c))
+    return df
 
 
 def dropped_rows(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Keys of the rows that `complete_rows` leaves out, with the columns that are missing."""
-    missing = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    missing = F.filter(F.array(*[F.when(is_missing(df, c), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
     return df.select(key, missing.alias("missing")).where(F.size("missing") > 0)
 
 
@@ -61,8 +70,8 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, categories): the sorted distinct values of each column over all complete rows, as text and number.
 
-    Values are made distinct before they are gathered. A column with more than
-    MAX_CATEGORIES values is no category and raises an error when the job runs.
+    Values are made distinct before they are gathered. One row holds the values of
+    a column: for columns with very many, `one_hot_sparse` numbers them by a join.
     """
     long = complete_rows(df, columns).select(
         F.inline(
@@ -81,16 +90,8 @@ def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     )
     counted = long.distinct()
-    sizes = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    checked = sizes.select(
-        "column",
-        F.when(F.col("n") <= MAX_CATEGORIES, F.col("n"))
-        .otherwise(F.raise_error(F.concat(F.lit("too many categories in column "), F.col("column"))))
-        .alias("n"),
-    ).where("n > 0")
     return (
-        counted.join(F.broadcast(checked), "column")
-        .groupBy("column")
+        counted.groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("number", "value"))).alias("sorted"))
         .select("column", F.col("sorted.value").alias("categories"))
     )
@@ -220,3 +221,25 @@ def fuzzify(
             grades = memberships(value.cast("double"), by_fold(lo[c], fold), by_fold(hi[c], fold), sets[c])
         out += [g.alias(f"{c}-{j}") for j, g in enumerate(grades)]
     return complete_rows(df, columns).select(*keep, *out)
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, column, index): for each complete row and column the 0-based place of its category, by text order.
+
+    The long form of one-hot, for any number of categories: they are numbered and
+    joined, never listed.
+    """
+    long = complete_rows(df, columns).select(
+        F.col(f"`{key}`").alias(key),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])),
+    )
+    # Sorting by range keeps every task to its share; places are offsets of the ranges plus places inside them.
+    values = long.select("column", "value").distinct().repartitionByRange("column", "value")
+    placed = values.sortWithinPartitions("column", "value").select("column", "value", F.spark_partition_id().alias("__task"))
+    inside = F.row_number().over(Window.partitionBy("__task", "column").orderBy("value"))
+    ranked = placed.withColumn("__inside", inside)
+    sizes = ranked.groupBy("__task", "column").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("column").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__task", "column", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    index = ranked.join(starts, ["__task", "column"]).select("column", "value", (F.col("__start") + F.col("__inside") - 1).alias("index"))
+    return long.join(index, ["column", "value"]).select(key, "column", "index")

@@ -1,22 +1,25 @@
-"""Exact k nearest neighbours by Manhattan distance, without comparing all pairs.
-
-Training rows are split into cells around a few pivots. By the triangle
-inequality the members of a cell lie between d - radius and d + radius of a row
-at distance d from its pivot, so the cell sizes give a distance within which the
-row surely has k neighbours, and only cells that reach into it are searched.
-Cells are searched in blocks of bounded size, each a small array computation
-that returns k rows per searched row. Nothing is left out: far data only means
-that more cells must be searched.
+"""Exact k nearest neighbours by Manhattan distance.
+
+Training rows are split into cells around pivots, whose number grows with the square
+root of the rows. Every row first searches its own cell; the distance of its k-th
+neighbour there bounds the search. By the triangle inequality the members of a cell at
+distance d lie between d - far and d - near of the row, so only cells that reach into
+the bound are searched after that. Cells are searched in blocks of bounded size, each a
+small array computation that returns k rows per searched row. Nothing is left out: far
+data only means that more cells must be searched. Where features are many and
+unrelated, distances are nearly equal, no bound excludes a cell, and all pairs are
+compared, block by block; with a few features a row sees a small share of the cells.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 # The functions below travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Fewest pivots; more rows have more.
 PIVOTS = 32
 BLOCK = 2048
 # Relative slack on distance bounds, wider than the rounding of a sum.
@@ -32,7 +36,10 @@ SEED = 7
 
 
 def _matrix(features: pd.Series) -> np.ndarray:
-    return np.array(features.tolist(), dtype="float64") if len(features) else np.empty((0, 0))
+    out = np.array(features.tolist(), dtype="float64") if len(features) else np.empty((0, 0))
+    if not np.isfinite(out).all():
+        raise ValueError("a feature is missing or not a finite number")
+    return out
 
 
 def manhattan(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -58,11 +65,16 @@ def nearest_neighbors(
     label: str = "y",
     part: str | None = None,
     *,
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     block: int = BLOCK,
+    visited: dict | None = None,
 ) -> DataFrame:
     """(key, neighbor, distance, label of the neighbour, rank) of the k nearest training rows.
 
+    Keys are unique on each side and features are finite numbers: ValueError, or a
+    failed job, where they are not. `n_pivots` is by default the square root of the
+    training rows. `visited`, if given, receives the number of compared pairs.
+
     With `part`, a row takes its neighbours from the rows of other parts only,
     which is out-of-fold search in one job. `features` is an ARRAY<DOUBLE>
     column. Equal distances are ordered by the key of the neighbour.
@@ -72,6 +84,11 @@ def nearest_neighbors(
     found = queries.select(*wanted)
     known = train.select(*wanted, F.col(label).cast("double").alias("label"))
 
+    for side, rows in (("searched", found), ("training", known)):
+        twice = rows.groupBy("id").count().where("count > 1 or id is null").first()
+        if twice is not None:
+            raise ValueError(f"key {twice['id']} of the {side} rows is not unique")
+    n_pivots = max(PIVOTS, math.isqrt(known.count())) if n_pivots is None else n_pivots
     pivots = _pivots(known, "id", "features", n_pivots)
     if not len(pivots):
         raise ValueError("no training rows")
@@ -91,77 +108,86 @@ def nearest_neighbors(
         F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")
     ).toPandas()
     n_parts = int(extents["part"].max()) + 1 if part else 1
-    cells = sorted(extents["cell"].unique())
-    of_cell = {c: i for i, c in enumerate(cells)}
+    # A pivot without rows has no total and is never reached.
+    cells = np.arange(len(pivots))
     sizes = np.zeros((len(cells), n_parts), dtype="int64")
     near, far = np.full(len(cells), np.inf), np.zeros(len(cells))
     for c, p, n, lo, hi in extents.itertuples(index=False):
-        i = of_cell[c]
-        sizes[i, max(p, 0)] += n
-        near[i], far[i] = min(near[i], lo), max(far[i], hi)
-    centers = pivots[cells]
+        sizes[c, max(p, 0)] += n
+        near[c], far[c] = min(near[c], lo), max(far[c], hi)
+    centers = pivots
     totals = sizes.sum(axis=1)
+    train_blocks = np.maximum(1, -(-totals // block))
 
-    def reach(rows: pd.DataFrame) -> np.ndarray:
-        """Which cells each row must search."""
-        away = manhattan(_matrix(rows["features"]), centers)
-        usable = np.broadcast_to(totals, away.shape)
+    def usable(rows: pd.DataFrame) -> np.ndarray:
+        """Training rows of each cell that each row may have as neighbours."""
+        out = np.broadcast_to(totals, (len(rows), len(cells)))
         if part:
             inside = (rows["part"].to_numpy() >= 0) & (rows["part"].to_numpy() < n_parts)
-            own = sizes.T[np.where(inside, rows["part"].to_numpy(), 0)] * inside[:, None]
-            usable = totals[None, :] - own
-        ends = away + far
-        order = ends.argsort(axis=1)
-        held = np.take_along_axis(usable, order, axis=1).cumsum(axis=1) >= k
-        bound = np.where(
-            held.any(axis=1), np.take_along_axis(np.take_along_axis(ends, order, 1), held.argmax(axis=1)[:, None], 1)[:, 0], np.inf
-        )
-        bound = bound * (1 + SLACK) + SLACK
-        gap = np.maximum(np.maximum(away - far, near - away), 0.0)
-        return (gap * (1 - SLACK) <= bound[:, None]) & (usable > 0)
+            out = totals[None, :] - sizes.T[np.where(inside, rows["part"].to_numpy(), 0)] * inside[:, None]
+        return out
 
-    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                visits = reach(rows).sum(axis=0)
-                yield pd.DataFrame({"at": np.arange(len(cells), dtype="int32"), "n": visits.astype("int64")})
-
-    visits = np.zeros(len(cells), dtype="int64")
-    for at, n in found.mapInPandas(count_visits, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
-        visits[at] = n
-    # Both sides of a cell are cut so that no block holds much more than `block` rows.
-    train_blocks = np.maximum(1, -(-totals // block))
-    query_blocks = np.maximum(1, -(-visits // block))
+    def own(rows: pd.DataFrame) -> np.ndarray:
+        """The nearest cell that holds usable rows, as one True per row."""
+        away = np.where(usable(rows) > 0, manhattan(_matrix(rows["features"]), centers), np.inf)
+        return (np.arange(len(cells)) == away.argmin(axis=1)[:, None]) & np.isfinite(away)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                row, at = np.nonzero(reach(rows))
-                out = rows.iloc[row].reset_index(drop=True)
-                out["at"] = at.astype("int32")
-                yield out
+    def others(rows: pd.DataFrame) -> np.ndarray:
+        """All further cells that reach into the distance in `bound`."""
+        away = manhattan(_matrix(rows["features"]), centers)
+        bound = rows["bound"].fillna(np.inf).to_numpy() * (1 + SLACK) + SLACK
+        gap = np.maximum(np.maximum(away - far, near - away), 0.0)
+        return (gap * (1 - SLACK) <= bound[:, None]) & (usable(rows) > 0) & ~own(rows)
 
-    routed = found.mapInPandas(route, T.StructType([*found.schema.fields, T.StructField("at", T.IntegerType())]))
+    placed = placed.withColumn("at", F.col("cell"))
+    spread = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
 
     def listed(counts: np.ndarray) -> F.Column:
         return F.element_at(F.array(*[F.lit(int(n)) for n in counts]), F.col("at") + 1)
 
-    spread = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
-    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    asked = (
-        routed.withColumn("query_block", (spread % listed(query_blocks)).cast("int"))
-        .withColumn("copies", listed(train_blocks))
-        .withColumn("train_block", every)
-        .drop("copies")
-    )
-    at_of = F.element_at(F.create_map(*[F.lit(int(x)) for c, i in of_cell.items() for x in (c, i)]), F.col("cell"))
-    held = (
-        placed.withColumn("at", at_of)
-        .withColumn("train_block", (spread % listed(train_blocks)).cast("int"))
-        .withColumn("copies", listed(query_blocks))
-        .withColumn("query_block", every)
-        .drop("copies", "cell", "away")
-    )
+    def searched(rows: DataFrame, reach: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+        """(id, neighbor, distance, label): k rows at most from each block of each cell that a row reaches."""
+
+        def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some in batches:
+                if len(some):
+                    yield pd.DataFrame({"at": np.arange(len(cells), dtype="int32"), "n": reach(some).sum(axis=0).astype("int64")})
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some in batches:
+                if len(some):
+                    row, at = np.nonzero(reach(some))
+                    out = some.iloc[row].reset_index(drop=True)
+                    out["at"] = at.astype("int32")
+                    yield out
+
+        visits = np.zeros(len(cells), dtype="int64")
+        for at, n in rows.mapInPandas(count_visits, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+            visits[at] = n
+        if visited is not None:
+            visited["pairs"] = visited.get("pairs", 0) + int(visits @ totals)
+        # Both sides of a cell are cut so that no block holds much more than `block` rows.
+        query_blocks = np.maximum(1, -(-visits // block))
+        routed = rows.mapInPandas(route, T.StructType([*rows.schema.fields, T.StructField("at", T.IntegerType())]))
+        asked = (
+            routed.withColumn("query_block", (spread % listed(query_blocks)).cast("int"))
+            .withColumn("copies", listed(train_blocks))
+            .withColumn("train_block", every)
+            .drop("copies")
+        )
+        held = (
+            placed.withColumn("train_block", (spread % listed(train_blocks)).cast("int"))
+            .withColumn("copies", listed(query_blocks))
+            .withColumn("query_block", every)
+            .drop("copies", "cell", "away")
+        )
+        block_key = ["at", "train_block", "query_block"]
+        return (
+            asked.groupBy(*block_key)
+            .cogroup(held.groupBy(*block_key))
+            .applyInPandas(search, "id long, neighbor long, distance double, label double")
+        )
 
     def search(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         outputs = []
@@ -191,12 +217,10 @@ def nearest_neighbors(
             return pd.DataFrame({"id": [], "neighbor": [], "distance": [], "label": []})
         return pd.concat(outputs, ignore_index=True)
 
-    block_key = ["at", "train_block", "query_block"]
-    near_rows = (
-        asked.groupBy(*block_key)
-        .cogroup(held.groupBy(*block_key))
-        .applyInPandas(search, "id long, neighbor long, distance double, label double")
-    )
+    first = searched(found, own).persist(StorageLevel.MEMORY_AND_DISK)
+    order = Window.partitionBy("id").orderBy("distance", "neighbor")
+    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("id", F.col("distance").alias("bound"))
+    near_rows = first.unionByName(searched(found.join(bounds, "id", "left"), others))
     # k rows per searched block reach this window, and Spark drops ranks beyond k before the shuffle.
     closest = Window.partitionBy("id").orderBy("distance", "neighbor")
     return (

@@ -17,6 +17,11 @@ SIMPLE_Z = 1.96
 SPLIT = 20
 
 
+def checked_label(label: str) -> Column:
+    y = F.col(label).cast("long")
+    return F.when(y.isNull() | y.isin(0, 1), y).otherwise(F.raise_error(F.concat(F.lit("a label is neither 0 nor 1: "), y.cast("string"))).cast("long"))
+
+
 def roc_points(
     predictions: DataFrame,
     keys: Sequence[str] = ("model",),
@@ -29,12 +34,12 @@ def roc_points(
 
     Columns: keys, threshold, pos, neg (rows at this score), tp, fp (rows at or
     above it), positives, negatives, tpr, fpr. Rows without score or label are
-    on no curve. Equal scores are merged before anything is shuffled, so a score
+    on no curve; a label besides 0 and 1 fails the job. Equal scores are merged before anything is shuffled, so a score
     that many rows share costs one row per task.
     """
     keys = list(keys)
     known = predictions.select(
-        *keys, F.col(label).cast("long").alias("__y"), F.col(score).cast("double").alias("threshold")
+        *keys, checked_label(label).alias("__y"), F.col(score).cast("double").alias("threshold")
     ).where("__y is not null and threshold is not null")
     counts = (
         with_sortable_bits(known, "threshold", "__bits")

@@ -52,12 +52,13 @@ def running_totals(
 ) -> DataFrame:
     """Add `through_<s>` (sum up to and with the row) and `total_<s>` per key group.
 
-    `order` is a LONG column without nulls; `ties` settle the order of equal
+    `order` is a LONG column; a null in it fails the job, so that no row is lost. `ties` settle the order of equal
     values. `sums` are whole numbers, not negative, and not all zero in a row.
     With `with_start` each key group also gets a first row of zeros.
     """
     keys, sums = [f"`{c}`" for c in keys], list(sums)
-    base = df.selectExpr("*", f"shiftright(`{order}`, {CELL_SHIFT}) as {CELL}")
+    checked = F.coalesce(F.col(f"`{order}`"), F.raise_error(F.lit(f"null in {order}, which orders the rows")).cast("long"))
+    base = df.withColumn(order, checked).selectExpr("*", f"shiftright(`{order}`, {CELL_SHIFT}) as {CELL}")
     grouped = [F.expr(f"sum({s}) as {s}") for s in sums]
 
     before, whole = _window(keys, CELL, "1 preceding"), _window(keys, CELL, "unbounded following")

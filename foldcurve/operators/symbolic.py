@@ -6,6 +6,7 @@ An expression is a number, a column name, or a tuple (function name, operand,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -40,6 +41,53 @@ def to_text(tree: Expression) -> str:
     return tree if isinstance(tree, str) else f"{tree:.3f}".rstrip("0").rstrip(".")
 
 
+TOKENS = re.compile(r"\s*(?:(?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)(?=\s*[,)]|\s*$)|(?P<name>[^\s,()]+)|(?P<mark>[(),]))")
+
+
+def from_text(text: str) -> Expression:
+    """The expression of `name(operand, ...)` text, as `to_text` writes it.
+
+    What stands before a bracket is a function, any other name a column; names may
+    hold anything but blanks, commas and brackets. ValueError for other text.
+    """
+    tokens, at = [], 0
+    end = len(text.rstrip())
+    while at < end:
+        found = TOKENS.match(text, at)
+        if found is None:
+            raise ValueError(f"not an expression: {text!r}")
+        tokens.append((found.lastgroup, found[found.lastgroup]))
+        at = found.end()
+    tokens.append(("end", ""))
+    # Open calls, each a list that begins with the function's name; the first collects the result.
+    open_calls: list[list] = [[None]]
+    wants, i = True, 0
+    while tokens[i][0] != "end":
+        kind, value = tokens[i]
+        if wants and kind == "number":
+            open_calls[-1].append(float(value))
+            wants = False
+        elif wants and kind == "name" and tokens[i + 1] == ("mark", "("):
+            open_calls.append([value])
+            i += 1
+        elif wants and kind == "name":
+            open_calls[-1].append(value)
+            wants = False
+        elif not wants and value == "," and len(open_calls) > 1:
+            wants = True
+        elif not wants and value == ")" and len(open_calls) > 1:
+            call = tuple(open_calls.pop())
+            if call[0] not in FUNCTIONS:
+                raise ValueError(f"no function {call[0]}")
+            open_calls[-1].append(call)
+        else:
+            raise ValueError(f"not an expression: {text!r}")
+        i += 1
+    if wants or len(open_calls) != 1 or len(open_calls[0]) != 2:
+        raise ValueError(f"not an expression: {text!r}")
+    return open_calls[0][1]
+
+
 def depth(tree: Expression) -> int:
     return 1 + max(depth(o) for o in tree[1:]) if isinstance(tree, tuple) else 0
 

@@ -116,7 +116,7 @@ class RbfClassifier(Estimator):
     comes from the sign of the margin, so the two may differ near one half.
     """
 
-    def __init__(self, C: float, gamma: float, n_features: int = 128, seed: int = 7, max_iter: int = 50) -> None:
+    def __init__(self, C: float, gamma: float, n_features: int = 128, seed: int = 7, max_iter: int = 100) -> None:
         super().__init__()
         self.C, self.gamma, self.n_features, self.seed, self.max_iter = C, gamma, n_features, seed, max_iter
 

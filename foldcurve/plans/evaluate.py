@@ -19,14 +19,14 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldcurve.operators.folds import SEED, stratified_folds
-from foldcurve.operators.fuzzy import CATEGORICAL, fuzzify, fuzzy_domain
+from foldcurve.operators.folds import SEED, TEST, TRAIN, VALID, stratified_folds
+from foldcurve.operators.fuzzy import complete_rows, dropped_rows, fuzzify, fuzzy_domain
 from foldcurve.operators.ranking import best_cell, mean_scores, weakest
 from foldcurve.operators.roc import auc
 from foldcurve.plans.estimators import FEATURES, KEY, LABEL, NeighborsModel, Standardize, add_scores
 from foldcurve.plans.registry import TOLERANCE, Fit, ModelSpec
-from foldcurve.session import cut_lineage
 
+TESTED = "__tested"
 
 @dataclass
 class FoldFit:
@@ -43,10 +43,12 @@ class FoldFit:
 
 @dataclass
 class Evaluation:
-    """`predictions`: model, fold_id, row_id, y, p, yhat of every tested row."""
+    """`predictions`: model, fold_id, row_id, y, p, yhat of every tested row. `dropped`: rows that were left out
+    of all folds, with the columns that are missing in them."""
 
     predictions: DataFrame
     fits: list[FoldFit] = field(default_factory=list)
+    dropped: DataFrame | None = None
 
     def best(self) -> DataFrame:
         """(fold_id, model, params, score)."""
@@ -106,8 +108,8 @@ def score_cells(models: Sequence[Model], hold: DataFrame) -> DataFrame:
 
 def inner_scores(
     train: DataFrame, spec: ModelSpec, cells: Sequence[Mapping], names: Sequence[str], n_inner: int, select: Sequence[int] | None, parallelism: int
-) -> DataFrame:
-    """(inner, cell, auc). With `select`, the cell number runs over feature counts first, then over cells."""
+) -> tuple[DataFrame, DataFrame]:
+    """(inner, cell, auc), and the scores it is computed from, kept until the caller frees them. With `select`, the cell number runs over feature counts first, then over cells."""
     parts = []
     for j in range(n_inner):
         rows, hold = train.where(F.col("inner") != j), train.where(F.col("inner") == j)
@@ -128,24 +130,38 @@ def inner_scores(
                 )
         finally:
             rows.unpersist()
-    # Written once: the curves read their points several times, the models should score once.
-    return auc(cut_lineage(reduce(DataFrame.unionByName, parts)), ["inner", "cell"])
+    # Kept: the curves read their points several times, the models should score once.
+    held = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    return auc(held, ["inner", "cell"]), held
 
 
-def fuzzy_rows(df: DataFrame, columns: Sequence[str], domain: DataFrame, n_sets: int, fold: int) -> tuple[DataFrame, list[str]]:
-    """The rows with memberships in the domain of one fold in place of the features."""
-    own = domain.where(F.col("fold_id") == fold)
-    keep = [KEY, LABEL, "part"]
-    out = fuzzify(df.withColumn("fold_id", F.lit(fold)), columns, own, n_sets, "fold_id", keep)
+def fuzzy_rows(df: DataFrame, columns: Sequence[str], domain: DataFrame, n_sets: int) -> tuple[DataFrame, list[str]]:
+    """The rows of one fold with memberships in its domain in place of the features."""
+    keep = [KEY, LABEL, TESTED]
+    out = fuzzify(df.withColumn("fold_id", F.lit(1)), columns, domain.where("fold_id = 1"), n_sets, "fold_id", keep)
     return out, [c for c in out.columns if c not in keep]
 
 
+def fold_rows(rows: DataFrame, fold: int, folds: DataFrame | None) -> DataFrame:
+    """The rows of one fold, with 1 in TESTED for those it tests and 0 for those it trains on.
+
+    From a role table, validation rows train; a row that the fold tests never trains it, whatever other role it has
+    there; rows in no role are left out. Without one, the fold tests its part and trains on all others.
+    """
+    if folds is None:
+        return rows.withColumn(TESTED, (F.col("part") == fold).cast("int")).where(f"{TESTED} is not null").drop("part")
+    mine = folds.where((F.col("fold_id") == fold) & F.col("role").isin(TRAIN, VALID, TEST))
+    tested = mine.groupBy(KEY).agg(F.max((F.col("role") == TEST).cast("int")).alias(TESTED))
+    return rows.join(tested, KEY)
+
+
 def evaluate(
     df: DataFrame,
     spec: ModelSpec,
     columns: Sequence[str],
     *,
-    n_outer: int,
+    n_outer: int | None = None,
+    folds: DataFrame | None = None,
     n_inner: int = 10,
     seed: int = SEED,
     n_sets: int | None = None,
@@ -154,29 +170,41 @@ def evaluate(
     search: bool = True,
     kinds: Mapping[str, str] | None = None,
 ) -> Evaluation:
-    """Test every row once with a model that never saw it.
-
-    `df` has `row_id`, `y`, the feature columns and its outer test fold in
-    `part`. `n_sets` replaces features by fuzzy memberships, `select` adds
-    recursive elimination with these feature counts to the grid. `search=False`
-    takes the first cell without inner folds.
+    """Test the rows of every outer fold with a model that never saw them.
+
+    `df` has `row_id`, `y` and the feature columns. Outer folds are either `n_outer` parts, with the test fold of
+    each row in `part`, or a role table `folds` (fold_id, row_id, role): train and valid rows train, test rows are
+    tested, in as many folds as test them. `n_sets` replaces features by fuzzy memberships, `select` adds recursive
+    elimination with these feature counts to the grid. `search=False` takes the first cell without inner folds.
+    Domain, scaling, selection and search of a fold use its training rows alone. Rows with a missing value are
+    left out and returned in `dropped`. `parallelism` outer folds are worked on at a time.
     """
+    if (n_outer is None) == (folds is None):
+        raise ValueError("give either n_outer or folds")
     cells = spec.cells()
-    rows = df.select(KEY, LABEL, "part", *[F.col(f"`{c}`") for c in columns]).na.drop()
-    domain = fuzzy_domain(rows, columns, "part", kinds).persist(StorageLevel.MEMORY_AND_DISK) if n_sets else None
-    parts, fits = [], []
-    for i in range(n_outer):
-        used, names = fuzzy_rows(rows, columns, domain, n_sets, i) if n_sets else (rows, list(columns))
-        outer = used.where(F.col("part") != i)
-        test = used.where(F.col("part") == i)
+    own = [KEY, LABEL, *(["part"] if folds is None else [])]
+    wanted = df.select(*own, *[F.col(f"`{c}`") for c in columns])
+    rows = complete_rows(wanted, wanted.columns)
+    numbers = range(n_outer) if folds is None else sorted(r.fold_id for r in folds.select("fold_id").distinct().collect())
+
+    def one(i: int) -> tuple[DataFrame, FoldFit]:
+        used, names = fold_rows(rows, i, folds), list(columns)
+        if n_sets:
+            # Fold 1 of a domain learns from the rows that are not in part 1: the training rows.
+            domain = fuzzy_domain(used, columns, TESTED, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+            used, names = fuzzy_rows(used, columns, domain, n_sets)
+            domain.unpersist()
+        outer = used.where(f"{TESTED} = 0")
+        test = used.where(f"{TESTED} = 1")
         settings = [(n, c) for n in (select or [None]) for c in cells]
         chosen, score = 0, None
         train = stratified_folds(outer, n_inner, LABEL, KEY, seed, "inner") if search else outer
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if search:
-                scores = inner_scores(train, spec, cells, names, n_inner, select, parallelism)
+                scores, held = inner_scores(train, spec, cells, names, n_inner, select, 1)
                 top = best_cell(mean_scores(scores, keys=[]), keys=[]).first()
+                held.unpersist()
                 chosen, score = top["cell"], top["mean_score"]
             size, cell = settings[chosen]
             scaler = Standardize(names).fit(train)
@@ -188,9 +216,15 @@ def evaluate(
             # A model that refers to its training rows reads them again from the source.
             train.unpersist()
         tested = add_scores(model, keep_features(scaler.transform(test), kept), "p", "yhat")
-        parts.append(tested.select(F.lit(spec.name).alias("model"), F.lit(i).alias("fold_id"), KEY, LABEL, "p", F.col("yhat").cast("int").alias("yhat")))
+        out = tested.select(F.lit(spec.name).alias("model"), F.lit(i).alias("fold_id"), KEY, LABEL, "p", F.col("yhat").cast("int").alias("yhat"))
         params = dict(cell) if size is None else {**cell, "n_features": size}
-        fits.append(FoldFit(i, spec.name, params, score, list(fit.names), list(range(len(names))) if kept is None else list(kept), model))
-    if domain is not None:
-        domain.unpersist()
-    return Evaluation(reduce(DataFrame.unionByName, parts), fits)
+        return out, FoldFit(i, spec.name, params, score, list(fit.names), list(range(len(names))) if kept is None else list(kept), model)
+
+    if parallelism == 1:
+        done = [one(i) for i in numbers]
+    else:
+        with ThreadPool(min(parallelism, len(numbers))) as pool:
+            done = pool.map(inheritable_thread_target(df.sparkSession)(one), numbers, chunksize=1)
+    if not done:
+        raise ValueError("no outer folds")
+    return Evaluation(reduce(DataFrame.unionByName, [d[0] for d in done]), [d[1] for d in done], dropped_rows(wanted, wanted.columns, KEY))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,6 @@ from foldcurve.plans.registry import (
     SELECT_SIZES,
     ModelSpec,
 )
-from foldcurve.session import cut_lineage
 from foldcurve.sources import sinks
 
 
@@ -68,13 +68,15 @@ def run_experiment(
     run: Run,
     folder: str,
     *,
-    n_outer: int,
+    n_outer: int | None = None,
+    folds: DataFrame | None = None,
     baseline: DataFrame | None = None,
     baseline_name: str = "BFP",
     parallelism: int = 1,
 ) -> tuple[DataFrame, list[FoldFit]]:
     """Evaluate and write all tables of one run; returns the ROC report and the fits.
 
+    Outer folds are `n_outer` parts or a role table `folds`, as in `evaluate`.
     `baseline` has `row_id` and a score column named `baseline_name`.
     """
     evaluations = [
@@ -83,6 +85,7 @@ def run_experiment(
             run.spec(name),
             columns,
             n_outer=n_outer,
+            folds=folds,
             n_inner=run.n_inner,
             n_sets=run.n_sets if run.variant == "fuzzy" else None,
             select=run.select(),
@@ -91,7 +94,7 @@ def run_experiment(
         for name in run.models
     ]
     # Written once and read by five tables; scoring is not repeated.
-    predictions = cut_lineage(pool(*[e.predictions for e in evaluations]))
+    predictions = pool(*[e.predictions for e in evaluations]).persist(StorageLevel.MEMORY_AND_DISK)
     best = pool(*[e.best() for e in evaluations])
     models, key = list(run.models), run.key()
 

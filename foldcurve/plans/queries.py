@@ -321,7 +321,7 @@ select o_orderkey as row_id, cast(o_orderkey % 10 as integer) as part,
     "stratified_folds",
     """
 select doc_id as row_id, quality as y,
-       cast((row_number() over (partition by quality order by doc_id) - 1) % 10 as integer) as part from labels""",
+       cast((row_number() over (order by quality, doc_id) - 1) % 10 as integer) as part from labels""",
 )
 def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labels").selectExpr("doc_id as row_id", "quality as y")
@@ -331,12 +331,13 @@ def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "stratified_fold_sizes",
     f"""
-with c as (select y, count(*) as n from ({SQL_ORDERS}) group by y)
-select y, cast(f as integer) as part, cast(n // 10 + case when f < n % 10 then 1 else 0 end as bigint) as n
-from c, range(10) as r(f)""",
+with c as (select y, count(*) as n from ({SQL_ORDERS}) group by y),
+s as (select y, n, coalesce(sum(n) over (order by y rows between unbounded preceding and 1 preceding), 0) as start from c)
+select y, cast(f as integer) as part, cast(n // 10 + case when (f + 10 - start % 10) % 10 < n % 10 then 1 else 0 end as bigint) as n
+from s, range(10) as r(f)""",
 )
 def stratified_fold_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Folds dealt in hash order: class shares are kept to within one row."""
+    """Folds dealt in hash order: shares of classes and totals of folds are kept to within one row."""
     rows = folds.stratified_folds(orders_rows(spark, folder), FOLDS)
     return rows.groupBy("y", "part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -524,13 +525,13 @@ def column_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(listed), "n_rows")
 
 
-SQL_HOLES = "select event_id, nullif(value, 6.55) as value, case when event_id % 97 = 0 then null else user_id end as user_id from events"
+SQL_HOLES = "select event_id, case when event_id % 89 = 0 then null else nullif(value, 6.55) end as value, case when event_id % 97 = 0 then null else user_id end as user_id from events"
 
 
 def with_holes(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with some values and users set to null."""
+    """Events with some values set to null or NaN, and some users to null."""
     return table(spark, folder, "events").selectExpr(
-        "event_id", "nullif(value, 6.55d) as value", "if(event_id % 97 = 0, null, user_id) as user_id"
+        "event_id", "if(event_id % 89 = 0, double('NaN'), nullif(value, 6.55d)) as value", "if(event_id % 97 = 0, null, user_id) as user_id"
     )
 
 
@@ -827,3 +828,117 @@ def importance_rank(spark: SparkSession, folder: str) -> DataFrame:
 )
 def selected_features(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.selected_features(ranking.importance_rank(importances(spark, folder))).select("text")
+
+
+# Roles, masks, parameters, fitness, text ---------------------------------
+
+SQL_FEW = "select p_partkey as row_id, p_retailprice / 1000.0 as a, cast(p_size as double) as b, case when p_size > 25 then 1 else 0 end as y from part"
+
+
+def part_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").selectExpr(
+        "p_partkey as row_id", "p_retailprice / 1000d as a", "double(p_size) as b", "int(p_size > 25) as y"
+    )
+
+
+@query(
+    "masks_to_rows",
+    """
+select cast(f as integer) as fold_id, n_nationkey as row_id,
+       case when n_nationkey % 5 = f then 'test' when n_nationkey % 5 = (f + 1) % 5 then 'valid' else 'train' end as role
+from nation, range(5) as r(f)""",
+)
+def masks_to_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Masks by position, gathered over the nations, and back to rows."""
+    each = folds.fold_roles(table(spark, folder, "nation").selectExpr("n_nationkey as row_id", "int(n_nationkey % 5) as part"), 5)
+    masks = each.groupBy("fold_id").agg(
+        *[
+            F.transform(F.sort_array(F.collect_list(F.struct("row_id", (F.col("role") == r).cast("int").alias("m")))), lambda x: x["m"]).alias(r)
+            for r in (folds.TRAIN, folds.VALID, folds.TEST)
+        ]
+    )
+    return folds.masks_to_rows(masks)
+
+
+SQL_ROLES = """
+select fold_id, row_id, role from (
+  select cast(f as integer) as fold_id, o_orderkey as row_id,
+    case when o_orderkey % 7 = f or o_orderkey % 7 = f + 3 then 'test' when o_orderkey % 7 = 6 then null
+         when o_orderkey % 7 = f + 1 then 'valid' else 'train' end as role
+  from orders, range(3) as r(f)) where role is not null
+"""
+
+
+@query(
+    "external_fold_rows",
+    f"""
+select fold_id, tested, count(*) as n, round(sum(o_totalprice), 2) as total from (
+  select fold_id, row_id, cast(max(case when role = 'test' then 1 else 0 end) as integer) as tested from ({SQL_ROLES}) group by fold_id, row_id)
+join orders on o_orderkey = row_id group by fold_id, tested""",
+)
+def external_fold_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that each fold of a role table trains on and tests: some rows are in no role, some are tested twice."""
+    from foldcurve.plans.evaluate import TESTED, fold_rows
+
+    orders = table(spark, folder, "orders")
+    role = F.expr(
+        "case when row_id % 7 = fold_id or row_id % 7 = fold_id + 3 then 'test' when row_id % 7 = 6 then null"
+        " when row_id % 7 = fold_id + 1 then 'valid' else 'train' end"
+    )
+    given = orders.selectExpr("o_orderkey as row_id", "explode(array(0, 1, 2)) as fold_id").withColumn("role", role).where("role is not null")
+    rows = orders.selectExpr("o_orderkey as row_id", "o_totalprice")
+    parts = [fold_rows(rows, i, given).withColumn("fold_id", F.lit(i)) for i in range(3)]
+    return align.pool(*parts).groupBy("fold_id", F.col(TESTED).alias("tested")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+
+
+TEXTS = ["sub(b, mul(a, 13))", "add(div(a, b), -0.5)", "max(a, neg(b))"]
+
+
+@query(
+    "expression_text",
+    f"""
+with r as ({SQL_FEW}), v as (
+  select row_id, 0 as n, b - a * 13 as x from r union all
+  select row_id, 1, case when abs(b) > 0.001 then a / b else 1 end - 0.5 from r union all
+  select row_id, 2, greatest(a, -b) from r)
+select row_id, n, round(1 / (1 + exp(-x)), 9) as p from v""",
+)
+def expression_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored expression texts, read and scored."""
+    rows = part_rows(spark, folder)
+    scored = [symbolic.score_expr(rows, symbolic.from_text(t), ["a", "b"]).select("row_id", F.lit(i).alias("n"), "p") for i, t in enumerate(TEXTS)]
+    return rounded(align.pool(*scored), "p", digits=9)
+
+
+@query(
+    "population_accuracy",
+    f"""
+with r as ({SQL_FEW}), v as (
+  select y, 0 as candidate, b - a * 13 as x from r union all
+  select y, 1, case when abs(b) > 0.001 then a / b else 1 end - 0.5 from r union all
+  select y, 2, greatest(a, -b) from r)
+select cast(candidate as integer) as candidate, round(avg(case when (x > 0) = (y = 1) then 1.0 else 0.0 end), 9) as fitness from v group by candidate""",
+)
+def population_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Another fitness than the area: the share of rows on the right side of zero."""
+
+    def accuracy(scored: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+        right = (F.col(score) > 0) == (F.col(label) == 1)
+        return scored.groupBy(*keys).agg(F.avg(right.cast("double")).alias("fitness"))
+
+    trees = [symbolic.from_text(t) for t in TEXTS]
+    return rounded(symbolic.population_auc(part_rows(spark, folder), trees, ["a", "b"], fitness=accuracy), "fitness", digits=9)
+
+
+@query(
+    "one_hot_sparse",
+    """
+with v as (select v, row_number() over (order by v) - 1 as k from (select distinct cast(c_name as varchar) as v from customer))
+select c_custkey as row_id, 'c_name' as "column", k as index from customer join v on c_name = v""",
+)
+def one_hot_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """As many categories as customers, numbered without a list of them."""
+    return fuzzy.one_hot_sparse(table(spark, folder, "customer").selectExpr("c_custkey as row_id", "c_name"), ["c_name"], "row_id")
+

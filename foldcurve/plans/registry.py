@@ -15,8 +15,8 @@ from foldcurve.plans.search import Search
 # The deepest tree MLlib grows.
 DEEPEST = 30
 SEED = 7
-# Logistic fits stop at this relative gain.
-TOLERANCE = 1e-5
+# Logistic fits stop at this relative gain, MLlib's default.
+TOLERANCE = 1e-6
 
 
 @dataclass(frozen=True)
@@ -34,29 +34,27 @@ class ModelSpec:
     grid: Mapping[str, Sequence]
 
     def cells(self) -> list[dict]:
-        """Grid cells in order, depths clipped to what MLlib grows, repeats dropped."""
-        out = []
-        for cell in grid_cells(self.grid):
-            if "depth" in cell and isinstance(cell["depth"], int):
-                cell["depth"] = min(cell["depth"], DEEPEST)
-            if cell not in out:
-                out.append(cell)
-        return out
+        """Grid cells in order. ValueError for a depth that MLlib does not grow."""
+        cells = list(grid_cells(self.grid))
+        for cell in cells:
+            if isinstance(cell.get("depth"), int) and cell["depth"] > DEEPEST:
+                raise ValueError(f"{self.name}: depth {cell['depth']} is above {DEEPEST}, the deepest tree MLlib grows")
+        return cells
 
     def with_grid(self, **grid: Sequence) -> "ModelSpec":
         return replace(self, grid=grid)
 
 
-# The grids of the evaluation.
+# The grids of the evaluation, but for depths above DEEPEST, which MLlib does not grow.
 TREES = [10, 30, 60, 100, 200, 400]
-DEPTHS = [1, 2, 3, 4, 5, 10, 15, 30, 60]
+DEPTHS = [1, 2, 3, 4, 5, 10, 15, 30]
 SVM_GRID = {"C": [1, 2, 5, 7, 10, 50, 100, 200, 400], "gamma": [0.001, 0.01, 0.05, 0.1, 1]}
 KNN_GRID = {"k": [1, 3, 5, 7, 9, 11, 13]}
 RF_GRID = {"trees": TREES, "depth": DEPTHS}
 ADAB_GRID = {"depth": DEPTHS, "rounds": TREES}
 GB_GRID = {"depth": DEPTHS, "trees": TREES}
 # Logarithmic loss splits as entropy does.
-DT_GRID = {"depth": [2, 3, 4, 5, 10, 50], "impurity": ["gini", "entropy"]}
+DT_GRID = {"depth": [2, 3, 4, 5, 10, 30], "impurity": ["gini", "entropy"]}
 LOGR_GRID = {"C": [0.001, 0.01, 0.1, 1, 2, 3, 5, 10]}
 GP_GRID = {
     "start_depth": [(2, 2), (2, 6)],

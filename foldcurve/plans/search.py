@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 
 from foldcurve.operators.symbolic import Expression, Fitness, area_fitness, depth, length, population_auc
 
-# Deeper trees are not bred, so that a compiled expression stays small.
-MAX_DEPTH = 17
-
 
 @dataclass(frozen=True)
 class Search:
@@ -33,6 +30,8 @@ class Search:
     point_replace: float = 0.05
     parsimony: float = 0.001
     stop_at: float | None = 0.01
+    #: Deeper expressions are not bred, their parent is copied instead; None sets no bound.
+    max_depth: int | None = None
     functions: tuple[str, ...] = ("add", "sub", "mul", "div")
     constants: tuple[float, float] = (-1.0, 1.0)
     seed: int = 7
@@ -102,7 +101,7 @@ class Breeder:
             new = self.points(tree)
         else:
             new = tree
-        return new if depth(new) <= MAX_DEPTH else tree
+        return new if s.max_depth is None or depth(new) <= s.max_depth else tree
 
 
 def nodes(tree: Expression, place: tuple[int, ...] = ()):
