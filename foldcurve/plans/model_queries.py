@@ -1,6 +1,8 @@
 """Registered queries that fit models. They have no SQL: the check is on rows only.
 
-Features come from the whole text of every labelled document.
+Features come from the whole text of every labelled document. Outer and inner folds, grids
+and sizes are those of the evaluation: a nested query searches the whole grid of its model,
+a query with one cell takes it from that grid.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from foldcurve.plans.queries import query, table
 from foldcurve.plans.registry import MODELS, ModelSpec
 from foldcurve.session import cut_lineage
 
-OUTER = 2
+OUTER = INNER = 10
+#: The cell of the symbolic searches: the least of the grid that draws from all depths. Without a fitness that ends
+#: it, every generation is bred.
+SEARCH = {"start_depth": (2, 6), "population": 100, "tournament": 7, "generations": 5, "stop_at": None}
 TEXT_FEATURES = ["n_chars", "n_words", "n_lines", "word_length", "digits", "capitals", "marks", "spread"]
 
 
@@ -43,7 +48,7 @@ def document_rows(spark: SparkSession, folder: str) -> DataFrame:
 def out_of_fold(spark: SparkSession, folder: str, spec: ModelSpec, **how) -> Evaluation:
     # Every fit reads the rows many times; the texts are read and counted once.
     rows = cut_lineage(document_rows(spark, folder))
-    return evaluate(rows, spec, TEXT_FEATURES, n_outer=OUTER, **how)
+    return evaluate(rows, spec, TEXT_FEATURES, n_outer=OUTER, n_inner=INNER, parallelism=OUTER, **how)
 
 
 def fixed(name: str, **cell) -> ModelSpec:
@@ -68,17 +73,18 @@ def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return out_of_fold(spark, folder, fixed("XGB", trees=5, depth=2), search=False).predictions
+    return out_of_fold(spark, folder, fixed("XGB", trees=10, depth=2), search=False).predictions
 
 
 @query("gbt_slow_scores")
 def gbt_slow_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return out_of_fold(spark, folder, fixed("LGB", trees=5, depth=2), search=False).predictions
+    return out_of_fold(spark, folder, fixed("LGB", trees=10, depth=2), search=False).predictions
 
 
 @query("adaboost_scores")
 def adaboost_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return out_of_fold(spark, folder, fixed("ADAB", depth=1, rounds=3), search=False).predictions
+    # The least number of rounds in the grid after which the rows were written out at least once.
+    return out_of_fold(spark, folder, fixed("ADAB", depth=1, rounds=30), search=False).predictions
 
 
 @query("rbf_scores")
@@ -93,8 +99,7 @@ def knn_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("search_scores")
 def search_scores(spark: SparkSession, folder: str) -> DataFrame:
-    spec = fixed("GP", start_depth=(2, 4), population=20, tournament=7, generations=2)
-    return out_of_fold(spark, folder, spec, search=False).predictions
+    return out_of_fold(spark, folder, fixed("GP", **SEARCH), search=False).predictions
 
 
 @query("rfe_features")
@@ -121,13 +126,13 @@ def predictions_of(spark: SparkSession, folder: str, specs: Sequence[ModelSpec],
 @query("nested_eval")
 def nested_eval(spark: SparkSession, folder: str) -> DataFrame:
     """Two-level evaluation of a tree, ending in the ROC report."""
-    return roc.roc_report(predictions_of(spark, folder, [MODELS["DT"].with_grid(depth=[2, 4], impurity=["gini"])], n_inner=2))
+    return roc.roc_report(predictions_of(spark, folder, [MODELS["DT"]]))
 
 
 @query("nested_eval_knn")
 def nested_eval_knn(spark: SparkSession, folder: str) -> DataFrame:
     """One neighbour search per inner fold serves all sizes of the grid."""
-    return roc.roc_report(predictions_of(spark, folder, [MODELS["KNN"].with_grid(k=[3, 7])], n_inner=2))
+    return roc.roc_report(predictions_of(spark, folder, [MODELS["KNN"]]))
 
 
 @query("fuzzy_selected_tree")
@@ -139,7 +144,7 @@ def fuzzy_selected_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("nested_best_params")
 def nested_best_params(spark: SparkSession, folder: str) -> DataFrame:
-    return out_of_fold(spark, folder, MODELS["LOGR"].with_grid(C=[0.01, 1]), n_inner=2).best()
+    return out_of_fold(spark, folder, MODELS["LOGR"]).best()
 
 
 @query("logreg_coefficients")
@@ -170,5 +175,4 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("expression_table")
 def expression_table(spark: SparkSession, folder: str) -> DataFrame:
-    spec = fixed("GP", start_depth=(2, 4), population=20, tournament=7, generations=2)
-    return reports.expression_table(spark, out_of_fold(spark, folder, spec, search=False).fits)
+    return reports.expression_table(spark, out_of_fold(spark, folder, fixed("GP", **SEARCH), search=False).fits)

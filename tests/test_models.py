@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldcurve.functions import scalars
 from foldcurve.operators import neighbors, symbolic
-from foldcurve.plans import reports
+from foldcurve.plans import model_queries, reports
 from foldcurve.plans.estimators import BoostedTrees, NeighborsModel, RbfClassifier, Standardize, SymbolicClassifier, add_scores
 from foldcurve.plans.evaluate import eliminate, evaluate, fit_cells
 from foldcurve.plans.experiment import Run, parts_from_folds, replay, run_experiment
@@ -252,3 +252,42 @@ def test_whole_job_writes_all_tables(spark, rows, tmp_path):
 def test_checkpoint_folder(spark):
     assert cut_lineage(spark.range(5)).count() == 5
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+MODEL_QUERIES = {
+    "adaboost_scores": "ADAB", "gbt_scores": "XGB", "gbt_slow_scores": "LGB", "search_scores": "GP", "expression_table": "GP",
+    "nested_eval": "DT", "nested_eval_knn": "KNN", "nested_best_params": "LOGR",
+}
+
+
+@pytest.mark.parametrize("name", MODEL_QUERIES)
+def test_registered_models_do_the_whole_job(name, monkeypatch):
+    """Ten folds of both kinds, the whole grid where one is searched, and no size below the grid's least."""
+
+    class Asked(Exception):
+        pass
+
+    def asked(rows, spec, columns, **how):
+        raise Asked(spec, how)
+
+    monkeypatch.setattr(model_queries, "document_rows", lambda *_: None)
+    monkeypatch.setattr(model_queries, "cut_lineage", lambda rows: rows)
+    monkeypatch.setattr(model_queries, "evaluate", asked)
+    with pytest.raises(Asked) as caught:
+        getattr(model_queries, name)(None, "")
+    spec, how = caught.value.args
+    whole = MODELS[MODEL_QUERIES[name]]
+    assert spec.name == whole.name and how["n_outer"] == 10
+    if how.get("search", True):
+        assert how["n_inner"] == 10 and spec.cells() == whole.cells()
+    else:
+        (cell,) = spec.cells()
+        assert all(cell[k] >= min(v) for k, v in whole.grid.items())
+        assert cell.get("rounds", 30) > BoostedTrees(1, 1).cut_every
+        assert cell.get("stop_at") is None
+
+
+def test_registered_search_breeds(rows):
+    """With the settings that are registered, but for the population, the last generation is reached."""
+    settings = Search(**{**model_queries.SEARCH, "population": 8})
+    assert symbolic_search(rows, {c: F.col(c) for c in COLUMNS}, settings).generation == 4
