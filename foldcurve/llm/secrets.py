@@ -4,7 +4,8 @@ Spans of a pattern are found with their offsets by cutting the text at its match
 the lengths of the pieces between them and of the matches add up to the positions.
 
 The battery looks at runs of [A-Za-z0-9+/_-] of 20 characters or more. Each gets the
-narrowest encoding that holds it (decimal, hexadecimal, base 32, base 62, base 64) and
+narrowest encoding that holds it (decimal, hexadecimal, base 32, base 62, base 64); a run
+that is in none, such as a path or a long word, is no candidate. A candidate gets
 three tests of the claim that its symbols are drawn at random: chi-squared uniformity
 over the alphabet, number of runs of neighbours above and below the middle symbol, and
 correlation of neighbours. Their normal deviates are combined into one; a candidate
@@ -43,6 +44,7 @@ HINTS = {
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets in their order, narrow before wide.
 ALPHABETS = (
+    DIGITS,
     DIGITS + "abcdef",
     DIGITS + "ABCDEF",
     UPPER + "234567",
@@ -78,11 +80,27 @@ def spans(text: Column, order: int, kind: str, pattern: str, group: int, least:
 
 
 def alphabet_of(value: Column) -> Column:
-    """The narrowest alphabet that holds the value; null if none does, or if it lacks digits or letters."""
-    out = F.lit(None).cast("string")
-    for alphabet in reversed(ALPHABETS):
-        out = F.when(value.rlike("^[" + alphabet.replace("-", r"\-") + "]+$"), F.lit(alphabet)).otherwise(out)
-    return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), out)
+    """The narrowest alphabet that holds the value; null if none does, or if it has no use for it.
+
+    Digits alone are decimal. Letters alone are base 32 if all are upper case, and base 62 or 64 if either case makes up
+    more than an eighth of them, which random letters miss less than once in a thousand; words and names in one case are in none.
+    """
+
+    def narrowest(alphabets: tuple[str, ...]) -> Column:
+        out = F.lit(None).cast("string")
+        for alphabet in reversed(alphabets):
+            out = F.when(value.rlike("^[" + alphabet.replace("-", r"\-") + "]+$"), F.lit(alphabet)).otherwise(out)
+        return out
+
+    digits, letters = value.rlike("[0-9]"), value.rlike("[A-Za-z]")
+    upper, lower = (F.length(F.regexp_replace(value, f"[^{x}]", "")) for x in ("A-Z", "a-z"))
+    mixed = 8 * F.least(upper, lower) > upper + lower
+    return (
+        F.when(digits & letters, narrowest(ALPHABETS))
+        .when(value.rlike("^[0-9]+$"), F.lit(DIGITS))
+        .when(value.rlike("^[A-Z]+$"), F.lit(UPPER + "234567"))
+        .when(~digits & mixed, narrowest(ALPHABETS[4:]))
+    )
 
 
 def deviation(places: Column, n: Column, size: Column) -> Column:
@@ -102,11 +120,11 @@ def deviation(places: Column, n: Column, size: Column) -> Column:
 
 
 def chance(value: Column, alphabet: Column) -> Column:
-    """Bound on the chance that ordinary text gives such a value; 1 for a value that does not look random."""
+    """Bound on the chance that ordinary text gives such a value; 1 for one that does not look random, null without alphabet."""
     n, size = F.length(value).cast("double"), F.length(alphabet).cast("double")
     places = F.transform(F.split(value, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     bound = F.pow(F.lit(2.0), -n * F.log2(size) / BITS_TO_HALVE)
-    return F.when(alphabet.isNull(), 1.0).when(deviation(places, n, size) <= LIMIT, bound).otherwise(1.0)
+    return F.when(alphabet.isNotNull(), F.when(deviation(places, n, size) <= LIMIT, bound).otherwise(1.0))
 
 
 def discovered(tested: Column) -> Column:
@@ -128,6 +146,8 @@ def scan(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     ).drop("_text")
     rows = rows.withColumn("base", F.sort_array(F.concat(*[F.col(kind[0]) for kind in BASE_KINDS])))
     tested = F.transform("_runs", lambda x: F.struct(chance(x["value"], alphabet_of(x["value"])).alias("p"), x.alias("span")))
+    # Runs in no encoding were not tested: they count neither as candidates nor as tests.
+    tested = F.filter(tested, lambda x: x["p"].isNotNull())
     rows = rows.withColumn("_tested", tested).withColumn("_found", F.transform(discovered(F.col("_tested")), lambda x: x["span"]))
     apart = F.filter("_found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     return rows.withColumn("added", apart).drop("_runs", "_tested", "_found")

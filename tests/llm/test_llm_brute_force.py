@@ -169,6 +169,28 @@ def test_randomness_battery(spark):
     assert all(got[len(keys) + i] == "" for i in range(len(plain)))
 
 
+def test_one_key_among_ordinary_runs(spark):
+    """Runs in no encoding do not raise the bar for a key in the same document."""
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lower = ["".join(draw.choice(letters) for _ in range(draw.randrange(5, 9))) for _ in range(800)]
+    ordinary = [draw.choice("/_-").join(lower[i : i + 4]) for i in range(0, 800, 4)]
+    assert len(ordinary) == 200 and all(len(x) >= 20 for x in ordinary)
+    upper = letters.upper()
+    kinds = {"decimal": ("0123456789", 28), "base 62": (letters + upper + "0123456789", 20), "base 32": (upper + "234567", 32), "letters": (letters + upper, 24), "upper": (upper, 32)}
+    rows, keys = [], {}
+    for kind, (alphabet, n) in kinds.items():
+        for _ in range(20):
+            at, key = len(rows), "".join(draw.choice(alphabet) for _ in range(n))
+            rows.append((at, " ".join([*ordinary[:100], key, *ordinary[100:]])))
+            start = len(" ".join(ordinary[:100])) + 1
+            keys[at] = (kind, f"random:{start}:{start + n}")
+    got = {r.doc_id: r.spans for r in secrets.digest(table(spark, rows)).collect()}
+    found = {kind: sum(got[i] == span for i, (k, span) in keys.items() if k == kind) for kind in kinds}
+    assert all(n >= 17 for n in found.values()), found
+    assert all(got[i] in ("", span) for i, (_, span) in keys.items())
+
+
 def test_quality_against_python(spark):
     draw = random.Random(8)
     bits = ["the", "cat", "\n", " ", "\t", "#a", "von", "$$", "\n\n", "é", "a b c", "The"]
