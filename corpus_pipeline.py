@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from foldcurve.llm import jaccard, mixing, pieces, secrets, toxicity
 from foldcurve.llm.common import written
 
+#: What a row is known by in the stages that drop and copy.
+KEY = "_key"
+
 #: SQL has no field, no rounding and no tokenizer.
 ORACLE_SQL = None
 
@@ -24,11 +27,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(toxicity.labelled(docs, labels)))
 
 
+def keyed(docs: DataFrame, *content: str) -> DataFrame:
+    """The rows with KEY: the id, or a hash of id and content for rows without id and rows whose id stands for several contents."""
+    sign = F.xxhash64(*[x for c in content for x in (F.col(c).isNull(), F.col(c))])
+    rows = docs.withColumn("_sign", sign)
+    signs = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_sign").alias("a"), F.max("_sign").alias("b"))
+    several = written(signs.where("a <> b").select(F.col("doc_id").alias("_several")))
+    own = F.col("doc_id").isNull() | F.col("_several").isNotNull()
+    key = F.when(own, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "_sign")).otherwise(F.col("doc_id"))
+    return rows.join(several, F.col("doc_id") == F.col("_several"), "left").withColumn(KEY, key).drop("_sign", "_several")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows that share an id one stays, without id all."""
-    kept = written(jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The document with the smallest id of each component; of rows that share id and text one stays, without id all."""
+    rows = keyed(docs.where("doc_id is not null"), "text")
+    linked = written(jaccard.join(rows.select(F.col(KEY).alias("doc_id"), "text")).select("doc_id", "component_id").distinct())
+    ids = rows.select(KEY, F.col("doc_id").alias("_id")).distinct()
+    first = linked.join(ids, F.col("doc_id") == F.col(KEY)).groupBy("component_id").agg(F.min(F.struct("_id", KEY)).alias("first"))
+    kept = written(first.select(F.col(f"first.{KEY}").alias(KEY)))
+    named = rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +55,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows without id are told apart by their text and source."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", "source"))
-    copies = mixing.mix(docs.withColumn("doc_id", key)).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"))
-    taken = written(copies.where("_copies > 0").select(F.col("doc_id").alias("_key"), "_copies"))
-    rows = docs.withColumn("_key", key).join(taken, "_key").dropDuplicates(["_key"])
+    """Each document as often as the mix takes it. Rows that share an id are told apart by their text and source."""
+    rows = keyed(docs, "text", "source")
+    mixed = mixing.mix(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"))
+    copies = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"))
+    taken = written(copies.where("_copies > 0").select(F.col("doc_id").alias(KEY), "_copies"))
+    rows = rows.join(taken, KEY).dropDuplicates([KEY])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -49,3 +49,15 @@ def test_rows_without_id_stay(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     assert corpus_pipeline.mix_sources(spark, docs, SF).columns == docs.columns
+
+
+def test_rows_that_share_an_id_but_not_the_text_stay(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(1, texts[0], "en", "s", 11), (1, texts[1], "en", "s", 11), (1, texts[1], "en", "s", 11), (2, texts[2], "en", "s", 11), (3, texts[1], "en", "t", 11), (3, texts[3], "en", "t", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    # The copy of texts[1] under id 3 is linked with the one under the smaller id.
+    assert sorted((r.doc_id, texts.index(r.text)) for r in kept.collect()) == [(1, 0), (1, 1), (2, 2), (3, 3)]
+    mixed = corpus_pipeline.mix_sources(spark, docs.where(F.col("text") != texts[2]), SF).groupBy("doc_id", "text", "source").count().collect()
+    there = {k: sum((r[0], r[1], r[3]) == k for r in rows) for k in {(r[0], r[1], r[3]) for r in rows}}
+    assert mixed and all(r["count"] <= 2 * there[r.doc_id, r.text, r.source] for r in mixed)
