@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldcurve.llm import jaccard, language, mixing, pieces, quality, secrets, suffixes, topk, toxicity, warc
+from foldcurve.llm import clusters, dialogue, jaccard, language, mixing, pieces, quality, secrets, suffixes, tokenfiles, topk, toxicity, warc
 from foldcurve.llm.common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,88 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
+
+
+def centroid_sql(rounds: int = clusters.ROUNDS) -> str:
+    """A step for each round: distances of all rows to all centroids, the nearest, and the floors of the means."""
+    steps = []
+    for r in range(rounds + 1):
+        old = f"c{r}"
+        steps += [
+            f"d{r} as materialized (select n, c, sum((x - y) * (x - y)) as d from u join {old} using (i) group by n, c)",
+            f"a{r} as materialized (select n, c, d from (select *, row_number() over (partition by n order by d, c) as k from d{r}) where k = 1)",
+            f"m{r} as (select c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as y from u join a{r} using (n) group by c, i)",
+            f"c{r + 1} as materialized (select c, i, coalesce(m{r}.y, {old}.y) as y from {old} left join m{r} using (c, i))",
+        ]
+    return f"""
+with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::double)::hugeint) as v from embeddings
+  where len(embedding) = {clusters.DIM} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as materialized (select n, unnest(v) as x, unnest(range({clusters.DIM})) as i from v),
+s as (select n, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from v),
+c0 as materialized (select c, i, x as y from s join u using (n) where c < {clusters.K}),
+{", ".join(steps)},
+h as (select c, sha256(string_agg(y::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256
+from a{rounds} join v using (n) join h using (c)
+"""
+
+
+@query("op11_centroids", centroid_sql())
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.digest(clusters.fit(clusters.scaled(table(spark, folder, "embeddings"))))
+
+
+def repair_sql() -> str:
+    """Rows in order, then the best edits to each state, row by row. Up to two inserts go ahead of a row."""
+    arcs = []
+    for q in range(4):
+        state, inserts, cost = q, "", 0
+        for _ in range(3):
+            for symbol in dialogue.ARCS:
+                arcs += [f"({q}, '{symbol}', '{inserts}', {cost}, '{letter}', {c}, {behind})" for c, ahead, behind, letter in dialogue.ARCS[symbol][state] if ahead]
+            state, inserts, cost = dialogue.NEXT[state], inserts + "I", cost + dialogue.INSERT
+    names = "case {0} when 2 then 'user' when 3 then 'assistant' end"
+    first, second = (names.format(f"case when {q} in (0, 1, 3) then 2 else 3 end") for q in ("q", "(case when q in (0, 1, 3) then 2 else 3 end)"))
+    return rf"""
+with recursive arcs(q, symbol, inserts, paid, letter, c, q2) as (values {", ".join(arcs)}),
+b as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(4294967295, list_reduce(list_transform(range(len(name)), lambda p: ascii(substr(name, p::int + 1, 1))::bigint),
+    lambda c, x: list_reduce(range(8), lambda y, z: xor(y >> 1, (y & 1) * 3988292384), xor(c, x)), 4294967295::bigint)) % 20 as kind from b),
+d as (select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy from k where kind <> 0),
+o as (select *, row_number() over w as i, lag(left(role, 1)) over w as before,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth from d window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+f as (select *, case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when nth > 1 then 'duplicate' when not regexp_matches(text, '[.!?][ 	-
+]*\z') then 'truncated' else '' end as fault,
+    case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as initial from o),
+g as (select *, case when fault in ('blank', 'duplicate') then '-' when fault = 'truncated' then upper(initial) else initial end as symbol from f),
+best as (
+  select conv_id, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit, [''][:0] as repaired from (select distinct conv_id from g)
+  union all
+  select conv_id, i, q2, best.cost, best.audit, best.repaired from (
+    select b.conv_id, g.i, a.q2, min({{cost: b.cost + a.paid + a.c, audit: b.audit || a.inserts || a.letter, repaired: b.repaired
+      || case when a.inserts = '' then [] when a.inserts = 'I' then [{first.replace("q ", "b.q ")} || ':'] else [{first.replace("q ", "b.q ")} || ':', {second.replace("q ", "b.q ")} || ':'] end
+      || case a.letter when 'D' then [] when 'K' then [g.role || ':' || g.text] else [{names.format("a.q2")} || ':' || g.text] end}}) as best
+    from best b join g on b.conv_id is not distinct from g.conv_id and g.i = b.i + 1 join arcs a on a.q = b.q and a.symbol = g.symbol
+    group by b.conv_id, g.i, a.q2)
+),
+ended as (select conv_id, i, min({{cost: cost + case q when 1 then 10 when 2 then 5 else 0 end, audit: audit || case q when 1 then 'II' when 2 then 'I' else '' end,
+    repaired: repaired || case q when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end}}) as best from best group by conv_id, i),
+n as (select conv_id, max(i) as i, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before || left(role, 1) not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select p.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(e.best.cost, 0)::bigint as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(array_to_string(e.best.repaired, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) p left join n on p.conv_id is not distinct from n.conv_id
+left join ended e on p.conv_id is not distinct from e.conv_id and e.i = n.i
+"""
+
+
+@query("op12_dialogue_repair", repair_sql())
+def op12_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.digest(table(spark, folder, "conversations"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, folder, "documents"), tokenfiles.default_tokenizer())
