@@ -30,10 +30,12 @@ file with documents, and reads back as no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -57,8 +59,24 @@ END_ID = 2
 #: Ids in a frame and in a file.
 FRAME_IDS, FILE_IDS = 1 << 16, 1 << 22
 LEVEL = 3
-#: Encoded words kept by a worker, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 64
+#: Encoded pieces kept by a worker, and the longest of them.
+CACHE_PIECES, CACHE_CHARS = 1 << 19, 64
+
+#: Letters and white space on which all Unicode versions agree, and texts of them and other plain characters.
+LETTERS, WHITE = "A-Za-zÀ-ÖØ-öø-ÿ", r" \t-\r"
+PLAIN = re.compile(rf"[\x00-\x1b -~{LETTERS}]*")
+#: The public split pattern of byte-level vocabularies, for plain texts.
+PIECES = re.compile(rf"'(?:[sdmt]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^{WHITE}{LETTERS}0-9]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+
+
+def byte_chars() -> dict[int, int]:
+    """The character for each byte in such vocabularies: its own where that prints, else the next one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)) - set(prints))
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_CHARS = byte_chars()
 
 ROWS = "task int, number int, place long, doc_id long, first long, n_tokens long, ids_crc32 long"
 
@@ -75,13 +93,15 @@ def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian bytes, with a cache of words.
-
-    Byte-level vocabularies of this kind split a text ahead of each space that a
-    non-space follows, whatever stands before it, and merge only between splits. So a
-    text may be cut there, and equal cuts have equal ids: the library encodes each of
-    them once. Where a cut's first character could be white space in any reading, the
-    text is not cut.
+    """Ids of whole texts by the tokenizers library, as little-endian bytes, with a cache of pieces.
+
+    A byte-level vocabulary splits a text into pieces by a fixed pattern and merges
+    within them only. Where all characters are such that any reading of the pattern
+    agrees on them (`PLAIN`), texts are split here and the library's model encodes each
+    different piece once. Other texts are cut ahead of each space that a non-space
+    follows, which is a split in any case, whatever stands before it; cuts that are not
+    plain go to the library whole. So do texts that hold one of the vocabulary's added
+    tokens, and all texts of a vocabulary of another kind.
     """
 
     def __init__(self, path: str):
@@ -89,48 +109,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        kind = json.loads(self.library.to_str())
+        split, model = kind["pre_tokenizer"] or {}, kind["model"]
+        byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.pieces = byte_level and kind["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
+        self.added = [t["content"] for t in kind["added_tokens"]]
         self.known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def splits(word: str) -> bool:
-        """Whether a text may be cut ahead of a space that `word` follows."""
-        return word != "" and (word[0].isalnum() or "!" <= word[0] <= "~")
+    def piece(self, piece: str) -> bytes:
+        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def cuts(self, text: str) -> list[str]:
-        """The text in cuts, all but the first without the space that they begin with."""
+    def learned(self, text: str, encode: Callable[[str], bytes]) -> bytes:
+        ids = encode(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_PIECES:
+                self.known.clear()
+            self.known[text] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        known = self.known
+        return b"".join([known.get(p) or self.learned(p, self.piece) for p in PIECES.findall(text)])
+
+    @staticmethod
+    def cuts(text: str) -> list[str]:
+        """The text cut ahead of spaces that are followed by what is no white space in any reading."""
         words = text.split(" ")
-        if all(map(self.splits, words[1:])):
-            return words
         out = words[:1]
         for word in words[1:]:
-            if self.splits(word):
-                out.append(word)
+            if word and (word[0].isalnum() or "!" <= word[0] <= "~"):
+                out.append(" " + word)
             else:
                 out[-1] += " " + word
         return out
 
     def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        known = self.known
-        try:
-            return self.packed(words[0]) + b"".join([known[w] for w in words[1:]])
-        except KeyError:
-            pass
-        head, *cuts = self.cuts(text)
-        out = [self.packed(head)]
-        for cut in cuts:
-            ids = known.get(cut)
-            if ids is None:
-                ids = self.packed(" " + cut)
-                if len(cut) <= CACHE_CHARS and self.splits(cut):
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[cut] = ids
-            out.append(ids)
-        return b"".join(out)
+        if not self.pieces or any(t in text for t in self.added):
+            return self.packed(text)
+        if PLAIN.fullmatch(text):
+            return self.plain(text)
+        return b"".join([self.plain(c) if PLAIN.fullmatch(c) else self.known.get(c) or self.learned(c, self.packed) for c in self.cuts(text)])
 
 
 @lru_cache(maxsize=2)
