@@ -94,30 +94,43 @@ class Profiles:
         block, size = [], 0
         for i, text in enumerate(texts):
             text = text or ""
-            # A long text comes in cuts that overlap by the two symbols that its windows share.
-            for at in range(0, len(text) or 1, BLOCK_CHARS):
-                cut = text[max(0, at - 2) : at + BLOCK_CHARS]
-                block.append((i, cut, at > 0))
-                size += len(cut)
-                if size >= BLOCK_CHARS:
-                    self.add(out, block)
-                    block, size = [], 0
+            if len(text) > BLOCK_CHARS:
+                self.add_long(out, i, text)
+                continue
+            block.append((i, text))
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                self.add(out, block)
+                block, size = [], 0
         self.add(out, block)
         return out
 
-    def add(self, out: np.ndarray, block: list[tuple[int, str, bool]]) -> None:
-        if not block:
-            return
-        # A gap before and after each text; a cut that goes on has none before it.
-        joined = "".join(("" if goes_on else " ") + cut + " " for _, cut, goes_on in block)
-        lengths = np.array([len(cut) + (1 if goes_on else 2) for _, cut, goes_on in block])
-        owner = np.repeat(np.arange(len(block)), lengths)
+    @staticmethod
+    def symbols(joined: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of `joined` without gaps that precede a gap of the same text, and the places of those that stay."""
         symbol = letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         first = np.zeros(len(symbol), bool)
-        first[np.cumsum(lengths) - lengths] = True
-        # A gap after a gap of the same text is dropped.
-        keep = first | (symbol != GAP) | np.append(False, symbol[:-1] != GAP)
-        symbol, owner = symbol[keep].astype(np.int64), owner[keep]
+        first[starts] = True
+        keep = np.flatnonzero(first | (symbol != GAP) | np.append(False, symbol[:-1] != GAP))
+        return symbol[keep].astype(np.int64), keep
+
+    def add(self, out: np.ndarray, block: list[tuple[int, str]]) -> None:
+        """Whole texts, a gap before and after each."""
+        if not block:
+            return
+        lengths = np.array([len(text) + 2 for _, text in block])
+        symbol, keep = self.symbols("".join(" " + text + " " for _, text in block), np.cumsum(lengths) - lengths)
+        self.tally(out, symbol, np.repeat(np.arange(len(block)), lengths)[keep], [i for i, _ in block])
+
+    def add_long(self, out: np.ndarray, i: int, text: str) -> None:
+        """One text, its symbols in cuts that overlap by the two that their windows share."""
+        symbol, _ = self.symbols(" " + text + " ", np.zeros(1, int))
+        for at in range(0, len(symbol) - 2, BLOCK_CHARS):
+            cut = symbol[at : at + BLOCK_CHARS + 2]
+            self.tally(out, cut, np.zeros(len(cut), int), [i])
+
+    def tally(self, out: np.ndarray, symbol: np.ndarray, owner: np.ndarray, rows_of: list[int]) -> None:
+        """Adds the windows of `symbol` to the rows that their owners stand for."""
         same = owner[2:] == owner[:-2]
         windows = ((symbol[:-2] << 42) | (symbol[1:-1] << 21) | symbol[2:])[same]
         if not len(windows):
@@ -129,14 +142,14 @@ class Profiles:
         places = self.places(distinct)
         rows = self.vectors[places]
         kind, doc = cells % len(distinct), cells // len(distinct)
-        for a in range(0, len(block), 64):
-            b = min(a + 64, len(block))
+        for a in range(0, len(rows_of), 64):
+            b = min(a + 64, len(rows_of))
             lo, hi = np.searchsorted(doc, [a, b])
             table = np.zeros((b - a, len(distinct)), np.float32)
             table[doc[lo:hi] - a, kind[lo:hi]] = counts[lo:hi]
             part = table @ rows
             for j in range(a, b):
-                out[block[j][0]] += part[j - a]
+                out[rows_of[j]] += part[j - a]
 
 
 @lru_cache(maxsize=2)

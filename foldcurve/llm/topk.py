@@ -176,7 +176,8 @@ def centred(rows: DataFrame) -> DataFrame:
     chosen = rows.orderBy(F.xxhash64(F.lit("centres"), "vec_id"), "vec_id").limit(SAMPLE).collect()
     centres: dict[int, np.ndarray] = {}
     for dim in {r.dim for r in chosen}:
-        points = np.array([r.v for r in chosen if r.dim == dim], float).reshape(-1, dim)
+        own = [r.v for r in chosen if r.dim == dim]
+        points = np.array(own, float).reshape(len(own), dim)
         picks, nearest = [0], np.full(len(points), np.inf)
         while len(picks) < min(CENTRES, len(points)):
             nearest = np.minimum(nearest, ((points - points[picks[-1]]) ** 2).sum(axis=1))

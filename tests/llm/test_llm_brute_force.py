@@ -166,7 +166,8 @@ def test_randomness_battery(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(table(spark, rows)).collect()}
     hits = sum(got[i] == "random:4:44" for i in range(len(keys)))
     assert hits >= 55
-    assert all(got[len(keys) + i] == "" for i in range(len(plain)))
+    # No run is called random; two of them are spans of 32 or more hexadecimal digits, which the base always reports.
+    assert [got[len(keys) + i] for i in range(len(plain))] == ["", "hex:4:40", "hex:4:52", ""]
 
 
 def test_one_key_among_ordinary_runs(spark):
