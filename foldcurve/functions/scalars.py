@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,13 +27,22 @@ def _divide(a: Column, b: Column, x: Column | None) -> Column:
     return F.when(~F.isnan(b) & (F.abs(b) > SMALLEST_DIVISOR), F.try_divide(a, b)).otherwise(F.lit(1.0))
 
 
+def _divide_numbers(a: np.ndarray, b: np.ndarray, x: np.ndarray | None) -> np.ndarray:
+    far = np.abs(b) > SMALLEST_DIVISOR
+    return np.where(far, a / np.where(far, b, 1.0), 1.0)
+
+
 @dataclass(frozen=True)
 class Named:
-    """A column function with the name it has in expressions and its number of operands."""
+    """A column function with the name it has in expressions and its number of operands.
+
+    `numbers` is the same function on arrays without nulls; a function without it works on columns only.
+    """
 
     name: str
     operands: int
     apply: Callable[[Column | None, Column, Column | None], Column]
+    numbers: Callable[[np.ndarray | None, np.ndarray, np.ndarray | None], np.ndarray] | None = None
 
     def __call__(self, *operands: Column) -> Column:
         if len(operands) != self.operands:
@@ -42,23 +52,30 @@ class Named:
         a, b, *x = operands
         return self.apply(a, b, x[0] if x else None)
 
+    def of_numbers(self, *operands: np.ndarray) -> np.ndarray:
+        if self.operands == 1:
+            return self.numbers(None, operands[0], None)
+        a, b, *x = operands
+        return self.numbers(a, b, x[0] if x else None)
+
 
 FUNCTIONS = {
     f.name: f
     for f in (
-        Named("add", 2, lambda a, b, x: a + b),
-        Named("sub", 2, lambda a, b, x: a - b),
-        Named("mul", 2, lambda a, b, x: a * b),
-        Named("div", 2, _divide),
-        Named("sqrt", 1, lambda a, b, x: F.sqrt(F.abs(b))),
-        Named("neg", 1, lambda a, b, x: -b),
-        Named("abs", 1, lambda a, b, x: F.abs(b)),
-        Named("WA", 3, lambda a, b, x: x * a + (1 - x) * b),
-        Named("OWA", 3, lambda a, b, x: x * F.greatest(a, b) + (1 - x) * F.least(a, b)),
-        Named("min", 2, _guarded(F.least)),
-        Named("max", 2, _guarded(F.greatest)),
-        Named("dilator", 1, lambda a, b, x: F.pow(b, F.lit(0.5))),
-        Named("concentrator", 1, lambda a, b, x: b * b),
+        Named("add", 2, lambda a, b, x: a + b, lambda a, b, x: a + b),
+        Named("sub", 2, lambda a, b, x: a - b, lambda a, b, x: a - b),
+        Named("mul", 2, lambda a, b, x: a * b, lambda a, b, x: a * b),
+        Named("div", 2, _divide, _divide_numbers),
+        Named("sqrt", 1, lambda a, b, x: F.sqrt(F.abs(b)), lambda a, b, x: np.sqrt(np.abs(b))),
+        Named("neg", 1, lambda a, b, x: -b, lambda a, b, x: -b),
+        Named("abs", 1, lambda a, b, x: F.abs(b), lambda a, b, x: np.abs(b)),
+        Named("WA", 3, lambda a, b, x: x * a + (1 - x) * b, lambda a, b, x: x * a + (1 - x) * b),
+        # NaN is the greatest for columns; fmin leaves it out as `least` does.
+        Named("OWA", 3, lambda a, b, x: x * F.greatest(a, b) + (1 - x) * F.least(a, b), lambda a, b, x: x * np.maximum(a, b) + (1 - x) * np.fmin(a, b)),
+        Named("min", 2, _guarded(F.least), lambda a, b, x: np.minimum(a, b)),
+        Named("max", 2, _guarded(F.greatest), lambda a, b, x: np.maximum(a, b)),
+        Named("dilator", 1, lambda a, b, x: F.pow(b, F.lit(0.5)), lambda a, b, x: np.power(b, 0.5)),
+        Named("concentrator", 1, lambda a, b, x: b * b, lambda a, b, x: b * b),
     )
 }
 

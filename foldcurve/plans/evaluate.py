@@ -2,7 +2,9 @@
 
 The driver walks over folds and cells and starts fits; rows stay in Spark. All
 cells of an inner fold score its held-out rows in one scan, and the areas of all
-cells and inner folds come from one grouped job.
+cells and inner folds come from one grouped job. Logistic models, decision trees and
+symbolic searches do not walk: the fits of all outer folds, inner folds and cells go
+together (plans/stacked.py, plans/stacked_trees.py, plans/stacked_search.py).
 """
 
 from __future__ import annotations
@@ -16,15 +18,19 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorSlicer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcurve.operators.folds import SEED, TEST, TRAIN, VALID, stratified_folds
 from foldcurve.operators.fuzzy import complete_rows, dropped_rows, fuzzify, fuzzy_domain
 from foldcurve.operators.ranking import best_cell, mean_scores, weakest
 from foldcurve.operators.roc import auc
-from foldcurve.plans.estimators import FEATURES, KEY, LABEL, NeighborsModel, Standardize, add_scores
+from foldcurve.plans.estimators import FEATURES, KEY, LABEL, NeighborsModel, Standardize, SymbolicModel, add_scores
+from foldcurve.plans import stacked, stacked_search, stacked_trees
+from foldcurve.plans.registry import SEED as SEARCH_SEED
 from foldcurve.plans.registry import TOLERANCE, Fit, ModelSpec
+from foldcurve.plans.search import Found, Search
+from foldcurve.plans.stacked_trees import Kind, Tree
 
 TESTED = "__tested"
 
@@ -155,6 +161,92 @@ def fold_rows(rows: DataFrame, fold: int, folds: DataFrame | None) -> DataFrame:
     return rows.join(tested, KEY)
 
 
+def logistic_fits(table: stacked.Stack, wanted: Sequence[tuple[stacked.Fold, Mapping, tuple[int, ...] | None]], shared: dict) -> list[stacked.Solution]:
+    problems = [stacked.Problem(fold, cell["C"], support=support) for fold, cell, support in wanted]
+    return stacked.solve(table, problems, shared["scaling"])
+
+
+def tree_fits(table: stacked.Stack, wanted: Sequence[tuple[stacked.Fold, Mapping, tuple[int, ...] | None]], shared: dict) -> list[Tree]:
+    """Trees as deep as the deepest cell of their kind, in the order of `wanted`; equal kinds are one tree."""
+    cuts = shared["cuts"] = shared["cuts"] or stacked_trees.cut_points(table)
+    kinds = [Kind(fold, cell["impurity"], support) for fold, cell, support in wanted]
+    grown = dict(zip(dict.fromkeys(kinds), stacked_trees.grow(table, list(dict.fromkeys(kinds)), max(cell["depth"] for _, cell, _ in wanted), cuts)))
+    return [grown[k] for k in kinds]
+
+
+def search_fits(table: stacked.Stack, wanted: Sequence[tuple[stacked.Fold, Mapping, tuple[int, ...] | None]], shared: dict) -> list[Found]:
+    if any(support is not None for _, _, support in wanted):
+        raise ValueError("a symbolic search chooses its own features; do not select for it")
+    searches = [(fold, Search(**cell, seed=SEARCH_SEED)) for fold, cell, _ in wanted]
+    return stacked_search.search_all(table, searches, shared["scaling"])[0]
+
+
+FITS = {"LOGR": logistic_fits, "DT": tree_fits, "GP": search_fits}
+
+
+def evaluate_stacked(table: stacked.Stack, numbers: Sequence[int], spec: ModelSpec, n_inner: int, select: Sequence[int] | None, search: bool, label_type: str) -> tuple[DataFrame, list[FoldFit]]:
+    """All folds of a stack: one elimination, one grid of fits, one job for all areas, and one refit for all folds."""
+    cells = spec.cells()
+    settings = [(n, c) for n in (select or [None]) for c in cells]
+    outer = [stacked.Fold(i) for i in range(table.n_outer)]
+    inner = [stacked.Fold(f.outer, j) for f in outer for j in range(n_inner)] if search else []
+    # Moments and thresholds of folds, kept between steps.
+    shared: dict = {"scaling": {}, "cuts": None}
+    kept = stacked.eliminate_all(table, [*outer, *inner], select, scaling=shared["scaling"]) if select else {}
+    fits_of = FITS[spec.name]
+
+    def wanted(fold: stacked.Fold, setting: int) -> tuple[stacked.Fold, Mapping, tuple[int, ...] | None]:
+        size, cell = settings[setting]
+        return fold, cell, kept[fold][size] if size else None
+
+    chosen, scores = {f.outer: 0 for f in outer}, {}
+    if search:
+        grid = [(f, s) for f in inner for s in range(len(settings))]
+        fits = fits_of(table, [wanted(f, s) for f, s in grid], shared)
+        if spec.name == "LOGR":
+            held = stacked.held_out_scores(table, fits, [s for _, s in grid])
+        elif spec.name == "GP":
+            held = stacked_search.held_out_scores(table, [(f, s, fit.tree) for (f, s), fit in zip(grid, fits)], shared["scaling"])
+        else:
+            # A tree serves all depths of its kind: (depth, cell) of each.
+            uses: dict[int, list[tuple[int, int]]] = {}
+            for fit, (_, s) in zip(fits, grid):
+                uses.setdefault(id(fit), []).append((settings[s][1]["depth"], s))
+            trees = list({id(fit): fit for fit in fits}.values())
+            held = stacked_trees.held_out_scores(table, trees, [uses[id(t)] for t in trees], shared["cuts"])
+        held = held.persist(StorageLevel.MEMORY_AND_DISK)
+        top = best_cell(mean_scores(auc(held, ["outer", "inner", "cell"]), keys=["outer"]), keys=["outer"]).collect()
+        held.unpersist()
+        chosen, scores = {r.outer: r.cell for r in top}, {r.outer: r.mean_score for r in top}
+    final = fits_of(table, [wanted(f, chosen[f.outer]) for f in outer], shared)
+    if spec.name == "LOGR":
+        tested = stacked.tested_scores(table, final)
+        models: list[Model] = [stacked.LogisticModel(s) for s in final]
+    elif spec.name == "GP":
+        tested = stacked_search.tested_scores(table, {f.outer: fit.tree for f, fit in zip(outer, final)}, shared["scaling"])
+        models = [SymbolicModel(table.names, fit.tree, fit.fitness) for fit in final]
+    else:
+        cut = [t.cut(settings[chosen[f.outer]][1]["depth"]) for f, t in zip(outer, final)]
+        tested = stacked_trees.tested_scores(table, {f.outer: t for f, t in zip(outer, cut)}, shared["cuts"])
+        models = [stacked_trees.TreeModel(t, table.names) for t in cut]
+    number = F.element_at(F.array(*[F.lit(i) for i in numbers]), F.col("outer") + 1)
+    out = tested.select(F.lit(spec.name).alias("model"), number.alias("fold_id"), KEY, F.col(LABEL).cast(label_type).alias(LABEL), "p", "yhat")
+    done = []
+    for f, model in zip(outer, models):
+        size, cell = settings[chosen[f.outer]]
+        selected = list(kept[f][size] if size else range(len(table.names)))
+        params = dict(cell) if size is None else {**cell, "n_features": size}
+        done.append(FoldFit(numbers[f.outer], spec.name, params, scores.get(f.outer), [table.names[i] for i in selected], selected, model))
+    return out, done
+
+
+def in_parallel(work: Callable, items: Sequence, parallelism: int, spark: SparkSession) -> list:
+    if parallelism == 1 or len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+
+
 def evaluate(
     df: DataFrame,
     spec: ModelSpec,
@@ -187,13 +279,39 @@ def evaluate(
     rows = complete_rows(wanted, wanted.columns)
     numbers = range(n_outer) if folds is None else sorted(r.fold_id for r in folds.select("fold_id").distinct().collect())
 
-    def one(i: int) -> tuple[DataFrame, FoldFit]:
-        used, names = fold_rows(rows, i, folds), list(columns)
-        if n_sets:
-            # Fold 1 of a domain learns from the rows that are not in part 1: the training rows.
-            domain = fuzzy_domain(used, columns, TESTED, kinds).persist(StorageLevel.MEMORY_AND_DISK)
-            used, names = fuzzy_rows(used, columns, domain, n_sets)
+    def used_rows(i: int) -> tuple[DataFrame, list[str]]:
+        """The rows of fold i and their features: memberships in a domain of its own, if there are sets."""
+        used = fold_rows(rows, i, folds)
+        if not n_sets:
+            return used, list(columns)
+        # Fold 1 of a domain learns from the rows that are not in part 1: the training rows.
+        domain = fuzzy_domain(used, columns, TESTED, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return fuzzy_rows(used, columns, domain, n_sets)
+        finally:
             domain.unpersist()
+
+    def fold_stack(i: int) -> tuple[stacked.Stack, list[int]]:
+        """The stack of one fold on features of its own."""
+        used, names = used_rows(i)
+        roles = used.select(F.lit(i).alias("fold_id"), KEY, F.when(F.col(TESTED) == 1, TEST).otherwise(TRAIN).alias("role"))
+        return stacked.stack(used, names, folds=roles, n_inner=n_inner if search else 1, seed=seed)
+
+    if spec.name in FITS:
+        label_type = rows.schema[LABEL].dataType.simpleString()
+
+        def whole(i: int | None) -> tuple[DataFrame, list[FoldFit]]:
+            table, own = fold_stack(i) if i is not None else stacked.stack(rows, columns, n_outer=n_outer, folds=folds, n_inner=n_inner if search else 1, seed=seed)
+            return evaluate_stacked(table, own, spec, n_inner, select, search, label_type)
+
+        # One stack of all folds; memberships differ by fold, so each fold of them is a stack.
+        parts = in_parallel(whole, list(numbers) if n_sets else [None], parallelism, df.sparkSession)
+        if not numbers:
+            raise ValueError("no outer folds")
+        return Evaluation(reduce(DataFrame.unionByName, [p[0] for p in parts]), [f for p in parts for f in p[1]], dropped_rows(wanted, wanted.columns, KEY))
+
+    def one(i: int) -> tuple[DataFrame, FoldFit]:
+        used, names = used_rows(i)
         outer = used.where(f"{TESTED} = 0")
         test = used.where(f"{TESTED} = 1")
         settings = [(n, c) for n in (select or [None]) for c in cells]
@@ -220,11 +338,7 @@ def evaluate(
         params = dict(cell) if size is None else {**cell, "n_features": size}
         return out, FoldFit(i, spec.name, params, score, list(fit.names), list(range(len(names))) if kept is None else list(kept), model)
 
-    if parallelism == 1:
-        done = [one(i) for i in numbers]
-    else:
-        with ThreadPool(min(parallelism, len(numbers))) as pool:
-            done = pool.map(inheritable_thread_target(df.sparkSession)(one), numbers, chunksize=1)
+    done = in_parallel(one, list(numbers), parallelism, df.sparkSession)
     if not done:
         raise ValueError("no outer folds")
     return Evaluation(reduce(DataFrame.unionByName, [d[0] for d in done]), [d[1] for d in done], dropped_rows(wanted, wanted.columns, KEY))

@@ -1,4 +1,4 @@
-"""Registered queries that fit models. They have no SQL: the check is on rows only.
+"""Registered queries that fit models. SQL cannot fit them; where it can, it says what must hold of a fit.
 
 Features come from the whole text of every labelled document. Outer and inner folds, grids
 and sizes are those of the evaluation: a nested query searches the whole grid of its model,
@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldcurve.operators import folds, ranking, roc
-from foldcurve.plans import reports
+from foldcurve.operators import folds, ranking, roc, symbolic
+from foldcurve.plans import reports, stacked, stacked_trees
 from foldcurve.plans.evaluate import Evaluation, eliminate, evaluate
 from foldcurve.plans.estimators import Standardize
 from foldcurve.plans.queries import query, table
 from foldcurve.plans.registry import MODELS, ModelSpec
+from foldcurve.plans.search import Search
+from foldcurve.plans.stacked_search import search_all
 from foldcurve.session import cut_lineage
 
 OUTER = INNER = 10
@@ -176,3 +178,89 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
 @query("expression_table")
 def expression_table(spark: SparkSession, folder: str) -> DataFrame:
     return reports.expression_table(spark, out_of_fold(spark, folder, fixed("GP", **SEARCH), search=False).fits)
+
+
+# What must hold of fits ---------------------------------------------------
+
+#: Rows that each outer fold trains on: folds are dealt in turn.
+SQL_TRAIN = f"""
+with n as (select count(*) as n from documents join labels using (doc_id)),
+folds as (select cast(f as integer) as fold_id, n - n // {OUTER} - case when f < n % {OUTER} then 1 else 0 end as n_train from n, range({OUTER}) as r(f))
+"""
+
+
+def document_stack(spark: SparkSession, folder: str) -> stacked.Stack:
+    table, _ = stacked.stack(cut_lineage(document_rows(spark, folder)), TEXT_FEATURES, n_outer=OUTER, n_inner=INNER)
+    return table
+
+
+@query(
+    "logistic_optimum",
+    SQL_TRAIN + f"select fold_id, c::double as penalty, n_train, true as at_optimum from folds, (select unnest({[float(c) for c in MODELS['LOGR'].grid['C']]}) as c)",
+)
+def logistic_optimum(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the slope of the objective vanishes for every outer fold and penalty, summed up over the rows anew."""
+    rows = document_stack(spark, folder)
+    fits = stacked.solve(rows, [stacked.Problem(stacked.Fold(o), float(c)) for o in range(OUTER) for c in MODELS["LOGR"].grid["C"]])
+    parts = []
+    for o in range(OUTER):
+        train = rows.rows.where(F.col("place")[o] >= 0)
+        for fit in (f for f in fits if f.problem.fold.outer == o):
+            z = [(F.col("x")[i] - float(fit.mean[i])) / float(fit.deviation[i]) for i in range(len(TEXT_FEATURES))]
+            margin = sum((F.lit(float(w)) * x for w, x in zip(fit.weights, z)), F.lit(fit.intercept))
+            residual = symbolic.logistic(margin) - F.col("y")
+            slopes = [F.abs(F.sum(residual))] + [F.abs(F.sum(residual * x) + float(w) / fit.problem.C) for w, x in zip(fit.weights, z)]
+            n = F.count(F.lit(1))
+            parts.append(train.agg(n.alias("n_train"), (F.greatest(*slopes) / n < 1e-6).alias("at_optimum")).select(F.lit(o).alias("fold_id"), F.lit(fit.problem.C).alias("penalty"), "n_train", "at_optimum"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "tree_partitions",
+    SQL_TRAIN + "select fold_id, impurity, n_train, true as leaves_match, true as all_split_gain from folds, (select unnest(['gini', 'entropy']) as impurity)",
+)
+def tree_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each tree has a leaf more than splits, its leaves hold all training rows, and each split parts its rows, by routing the rows anew."""
+    rows = document_stack(spark, folder)
+    trees = stacked_trees.grow(rows, [stacked_trees.Kind(stacked.Fold(o), i) for o in range(OUTER) for i in stacked_trees.IMPURITIES], 30)
+    parts = []
+    for tree in trees:
+        def leaf(node: int):
+            if tree.feature[node] < 0:
+                return F.lit(node)
+            return F.when(F.col("x")[tree.feature[node]] <= tree.threshold[node], leaf(tree.left[node])).otherwise(leaf(tree.right[node]))
+
+        held = rows.rows.where(F.col("place")[tree.kind.fold.outer] >= 0).groupBy(leaf(0).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("ones"))
+        leaves = {n: c for n, c in enumerate(tree.counts) if tree.feature[n] < 0}
+        known = F.create_map(*[F.lit(v) for n, c in leaves.items() for v in (n, f"{sum(c)}:{c[1]}")])
+        same = F.try_element_at(known, F.col("leaf")) == F.concat(F.col("n").cast("string"), F.lit(":"), F.col("ones").cast("string"))
+        parted = len(leaves) == len(tree.feature) - len(leaves) + 1 and all(sum(c) for c in leaves.values())
+        parts.append(
+            held.agg(F.sum("n").alias("n_train"), (F.min(same) & (F.count(F.lit(1)) == len(leaves))).alias("leaves_match")).select(
+                F.lit(tree.kind.fold.outer).alias("fold_id"), F.lit(tree.kind.impurity).alias("impurity"), "n_train", "leaves_match", F.lit(parted).alias("all_split_gain")
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("search_recomputed", SQL_TRAIN + "select fold_id, n_train, true as same_area from folds")
+def search_recomputed(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the fitness that a search reports is the area of its expression, compiled to a column and scored anew."""
+    rows, scaling = document_stack(spark, folder), {}
+    found, _ = search_all(rows, [(stacked.Fold(o), Search(**SEARCH)) for o in range(OUTER)], scaling)
+    parts = []
+    for o, best in enumerate(found):
+        _, mean, deviation = scaling[stacked.Fold(o)]
+        columns = {c: (F.col("x")[i] - float(rows.centre[i] + mean[i] * rows.scale[i])) / float(deviation[i] * rows.scale[i]) for i, c in enumerate(TEXT_FEATURES)}
+        train = rows.rows.where(F.col("place")[o] >= 0).select(F.lit(o).alias("fold_id"), "y", symbolic.compile_expr(best.tree, columns).alias("p"))
+        parts.append(roc.auc(train, ["fold_id"]).select("fold_id", (F.col("positives") + F.col("negatives")).alias("n_train"), (F.abs(F.col("auc") - best.fitness) < 1e-9).alias("same_area")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

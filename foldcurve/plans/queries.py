@@ -835,7 +835,7 @@ def selected_features(spark: SparkSession, folder: str) -> DataFrame:
 SQL_FEW = "select p_partkey as row_id, p_retailprice / 1000.0 as a, cast(p_size as double) as b, case when p_size > 25 then 1 else 0 end as y from part"
 
 
-def part_rows(spark: SparkSession, folder: str) -> DataFrame:
+def few_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").selectExpr(
         "p_partkey as row_id", "p_retailprice / 1000d as a", "double(p_size) as b", "int(p_size > 25) as y"
     )
@@ -907,7 +907,7 @@ select row_id, n, round(1 / (1 + exp(-x)), 9) as p from v""",
 )
 def expression_text(spark: SparkSession, folder: str) -> DataFrame:
     """Stored expression texts, read and scored."""
-    rows = part_rows(spark, folder)
+    rows = few_rows(spark, folder)
     scored = [symbolic.score_expr(rows, symbolic.from_text(t), ["a", "b"]).select("row_id", F.lit(i).alias("n"), "p") for i, t in enumerate(TEXTS)]
     return rounded(align.pool(*scored), "p", digits=9)
 
@@ -929,7 +929,7 @@ def population_accuracy(spark: SparkSession, folder: str) -> DataFrame:
         return scored.groupBy(*keys).agg(F.avg(right.cast("double")).alias("fitness"))
 
     trees = [symbolic.from_text(t) for t in TEXTS]
-    return rounded(symbolic.population_auc(part_rows(spark, folder), trees, ["a", "b"], fitness=accuracy), "fitness", digits=9)
+    return rounded(symbolic.population_auc(few_rows(spark, folder), trees, ["a", "b"], fitness=accuracy), "fitness", digits=9)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldcurve.operators.symbolic import depth, length, to_text
 from foldcurve.plans.evaluate import FoldFit
+from foldcurve.plans.stacked_trees import TreeModel
 
 
 def selection_table(spark: SparkSession, fits: Sequence[FoldFit], names: Sequence[str]) -> DataFrame:
@@ -66,8 +67,14 @@ def node_rows(fold_id: int, name: str, tree: Model) -> list[tuple]:
 
 
 def tree_table(spark: SparkSession, fits: Sequence[FoldFit]) -> DataFrame:
-    """Node table of decision trees: (fold_id, model, node_id, left, right, feature, threshold)."""
-    return spark.createDataFrame([r for f in fits for r in node_rows(f.fold_id, f.model, f.fitted)], NODES)
+    """Node table of decision trees: (fold_id, model, node_id, left, right, feature, threshold). Features are numbered as in `names`."""
+    rows = []
+    for f in fits:
+        if isinstance(f.fitted, TreeModel):
+            rows += [(f.fold_id, f.model, n, left, right, None if x is None else f.selected.index(x), at) for n, left, right, x, at in f.fitted.tree.rows()]
+        else:
+            rows += node_rows(f.fold_id, f.model, f.fitted)
+    return spark.createDataFrame(rows, NODES)
 
 
 def tree_structure(nodes: DataFrame) -> DataFrame:
@@ -94,7 +101,6 @@ def node_text(structure: DataFrame) -> DataFrame:
     return structure.withColumn(
         "text",
         F.expr(
-            "concat(repeat('\\t', depth), 'node=', node_id, if(is_leaf, ' is a leaf node.',"
-            " concat(' is a split node: go to node ', left, ' if X[:, ', feature, '] <= ', threshold, ' else to node ', right, '.')))"
+            "concat(repeat('  ', depth), '#', node_id, if(is_leaf, ': leaf', concat(': feature ', feature, ' up to ', threshold, ' -> #', left, ', above -> #', right)))"
         ),
     )

@@ -1,17 +1,21 @@
 """Seeded search for a symbolic expression by generations of small changes.
 
-The driver holds expressions only. All work on rows is `population_auc`: one
-scan of the table per chunk of candidates.
+The driver holds expressions only. The searches of many folds go together, generation
+by generation: one scan of the table scores the new expressions of all of them, each
+different subtree once (operators/forest.py). An expression that was scored in an earlier
+generation, as most copies and many children were, is not scored again.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping
+from collections.abc import Generator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from foldcurve.operators import forest
 from foldcurve.operators.symbolic import Expression, Fitness, area_fitness, depth, length, population_auc
 
 
@@ -124,31 +128,17 @@ def replace(tree: Expression, place: tuple[int, ...], new: Expression) -> Expres
     return (*tree[:i], replace(tree[i], tuple(rest), new), *tree[i + 1 :])
 
 
-def symbolic_search(
-    df: DataFrame,
-    columns: Mapping[str, Column],
-    settings: Search,
-    label: str = "y",
-    fitness: Fitness = area_fitness,
-) -> Found:
-    """The fittest expression of the last generation.
-
-    The search ends early once the best fitness reaches `stop_at`. With the
-    usual 0.01 that is after the first generation for any useful expression;
-    None runs all generations.
-    """
-    breeder = Breeder(list(columns), settings)
+def generations(names: Sequence[str], settings: Search) -> Generator[list[Expression], Mapping[Expression, float], Found]:
+    """A search as a generator: it yields the different expressions of a generation and is sent their fitness."""
+    breeder = Breeder(list(names), settings)
     people = [breeder.start() for _ in range(settings.population)]
     for generation in range(settings.generations):
-        # Equal expressions are scored once.
-        distinct = list(dict.fromkeys(people))
-        rated = population_auc(df, distinct, columns, label, fitness=fitness).collect()
-        known = {distinct[r["candidate"]]: r["fitness"] or 0.0 for r in rated}
+        known = yield list(dict.fromkeys(people))
         best = max(people, key=known.__getitem__)
         last = generation + 1 == settings.generations
         if last or (settings.stop_at is not None and known[best] >= settings.stop_at):
             return Found(best, known[best], generation)
-        penalized = {t: f - settings.parsimony * length(t) for t, f in known.items()}
+        penalized = {t: known[t] - settings.parsimony * length(t) for t in dict.fromkeys(people)}
 
         def pick() -> Expression:
             entrants = [breeder.random.choice(people) for _ in range(settings.tournament)]
@@ -156,3 +146,80 @@ def symbolic_search(
 
         people = [breeder.child(pick) for _ in range(settings.population)]
     raise ValueError("a search needs at least one generation")
+
+
+class Searches:
+    """Searches by group that go on together. `scored` and `asked` count the expressions that were scored and those that were met."""
+
+    def __init__(self, names: Sequence[str], settings: Mapping[object, Search]) -> None:
+        self.forest = forest.Forest(names)
+        self.open = {g: generations(names, s) for g, s in settings.items()}
+        self.found: dict[object, Found] = {}
+        self.memo: dict[object, dict[int, float]] = {g: {} for g in settings}
+        self.asked = self.scored = 0
+
+    def run(self, score) -> dict[object, Found]:
+        """`score` takes {group: (plan, roots)} and returns {(group, root): fitness}."""
+        waiting = {g: next(s) for g, s in self.open.items()}
+        while waiting:
+            roots = {g: [self.forest.add(t) for t in trees] for g, trees in waiting.items()}
+            new = {g: sorted(set(own) - self.memo[g].keys()) for g, own in roots.items()}
+            self.asked += sum(map(len, roots.values()))
+            self.scored += sum(map(len, new.values()))
+            fitness = score({g: (self.forest.needed(own), own) for g, own in new.items() if own})
+            for g, own in new.items():
+                self.memo[g].update({r: fitness.get((g, r)) or 0.0 for r in own})
+            following = {}
+            for g, trees in waiting.items():
+                try:
+                    following[g] = self.open[g].send({t: self.memo[g][r] for t, r in zip(trees, roots[g])})
+                except StopIteration as end:
+                    self.found[g] = end.value
+            waiting = following
+        return self.found
+
+
+def symbolic_search(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    settings: Search,
+    label: str = "y",
+    fitness: Fitness = area_fitness,
+) -> Found:
+    """The fittest expression of the last generation.
+
+    The search ends early once the best fitness reaches `stop_at`. With the
+    usual 0.01 that is after the first generation for any useful expression;
+    None runs all generations. Rows have no missing values: a null fails the job.
+    """
+    if not forest.takes(settings.functions):
+        return _search_columns(df, columns, settings, label, fitness)
+    checked = [F.coalesce(c.cast("double"), F.raise_error(F.lit(f"a value of {n} is missing")).cast("double")) for n, c in columns.items()]
+    rows = df.select(F.col(label).alias(label), F.array(*checked).alias("x"))
+
+    def rows_of(batch, group):
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return x, batch.column(label).to_numpy(zero_copy_only=False)
+
+    def score(plans) -> dict:
+        if not plans:
+            return {}
+        scored = forest.scores(rows, plans, rows_of, lambda g: (), (), label)
+        return {(0, r["candidate"]): r["fitness"] for r in fitness(scored, ["candidate"], label, "p").collect()}
+
+    return Searches(list(columns), {0: settings}).run(score)[0]
+
+
+def _search_columns(df: DataFrame, columns: Mapping[str, Column], settings: Search, label: str, fitness: Fitness) -> Found:
+    """The search with functions that work on columns only."""
+    steps = generations(list(columns), settings)
+    trees, memo = next(steps), {}
+    while True:
+        new = [t for t in trees if t not in memo]
+        if new:
+            rated = population_auc(df, new, columns, label, fitness=fitness).collect()
+            memo |= {t: 0.0 for t in new} | {new[r["candidate"]]: r["fitness"] or 0.0 for r in rated}
+        try:
+            trees = steps.send(memo)
+        except StopIteration as end:
+            return end.value

@@ -228,7 +228,7 @@ def test_tree_report(spark, scaled):
     nodes = spark.createDataFrame(reports.node_rows(0, "DT", fitted), reports.NODES)
     text = reports.node_text(reports.tree_structure(nodes)).orderBy("node_id").collect()
     assert len(text) == fitted.numNodes and max(r.depth for r in text) == fitted.depth
-    assert text[0].text.startswith("node=0 is a split node: go to node 1 if X[:, ")
+    assert text[0].text.startswith("#0: feature ") and text[0].text.endswith(f"-> #{text[0].right}")
     assert all(r.is_leaf == (r.left is None) for r in text)
     assert sum(r.is_leaf for r in text) == (fitted.numNodes + 1) // 2
 
