@@ -2,8 +2,9 @@
 
 A text becomes one symbol per character; an agenda holds the adjacent pairs whose
 concatenation is a piece, best score first and leftmost first among equals; the best
-pair is merged until none is left. Symbols that are no piece fall back to their bytes.
-No piece of a vocabulary handled here has a space mark after another character, so
+pair is merged until none is left. The agendas of many parts are worked off side by side, as
+the rows of a matrix of pair ranks; a long part has a heap of its own. Symbols that are no
+piece fall back to their bytes. No piece of a vocabulary handled here has a space mark after another character, so
 merges never cross the start of a run of marks: the text is cut there, and each cut
 part is encoded once per worker while it stays in a bounded cache. `Encoder` refuses
 vocabularies for which that does not hold.
@@ -21,9 +22,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,6 +35,81 @@ PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Most cut parts that a worker keeps, and the longest that it keeps.
 CACHE_PARTS = 300_000
 CACHE_CHARS = 48
+#: Longer parts have a heap; others share a matrix, so many at a time.
+MATRIX_CHARS, MATRIX_ROWS = 48, 8192
+#: Characters of whole texts whose parts are looked up together.
+TEXTS_CHARS = 1 << 20
+NO_PAIR, ABSENT = np.iinfo(np.int32).max, np.int64(-(1 << 31))
+
+
+class Pairs:
+    """Numbered symbols (pieces and characters), and for each pair of them that makes a piece its rank and its symbol.
+
+    Ranks follow the scores, best first; equal scores have equal ranks.
+    """
+
+    def __init__(self, ranks: dict[str, tuple[float, int]]):
+        self.symbols = list(ranks)
+        self.number = {s: i for i, s in enumerate(self.symbols)}
+        scores = {s: i for i, s in enumerate(sorted({r[0] for r in ranks.values()}))}
+        found = []
+        for piece, (score, _) in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = piece[:cut], piece[cut:]
+                if (cut == 1 or left in ranks) and (len(right) == 1 or right in ranks):
+                    found.append((self.add(left), self.add(right), scores[score], self.number[piece]))
+        left, right, rank, made = np.array(found, np.int64).reshape(-1, 4).T
+        order = np.argsort((left << 32) | right)
+        self.keys, self.rank, self.made = ((left << 32) | right)[order], rank[order].astype(np.int32), made[order]
+
+    def add(self, symbol: str) -> int:
+        found = self.number.get(symbol)
+        if found is None:
+            found = self.number[symbol] = len(self.symbols)
+            self.symbols.append(symbol)
+        return found
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NO_PAIR: none) and symbol of each pair; a negative symbol stands for none."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.rank[at], NO_PAIR), np.where(hit, self.made[at], -1)
+
+    def merge(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of parts whose agenda is empty, and a row of symbols for each, ABSENT behind the last. Characters in no pair are -1 - code point."""
+        n, lengths = len(parts), np.array([len(p) for p in parts])
+        width = int(lengths.max(initial=1))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        different, back = np.unique(codes, return_inverse=True)
+        numbers = np.array([self.number.get(chr(c), -1 - int(c)) for c in different], np.int64)
+        symbols = np.full((n, width), ABSENT)
+        symbols[np.arange(width) < lengths[:, None]] = numbers[back]
+        ranks, made = self.lookup(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(n)
+        while len(rows):
+            if symbols.shape[1] > 1:
+                best = ranks.argmin(axis=1)
+                own = np.arange(len(rows))
+                open_rows = ranks[own, best] < NO_PAIR
+            else:
+                open_rows = np.zeros(len(rows), bool)
+            if not open_rows.all():
+                yield rows[~open_rows], symbols[~open_rows]
+            if not open_rows.any():
+                break
+            rows, symbols, ranks, made, best = rows[open_rows], symbols[open_rows], ranks[open_rows], made[open_rows], best[open_rows]
+            own, last = np.arange(len(rows)), symbols.shape[1] - 1
+            symbols[own, best] = made[own, best]
+            # The right symbol of the pair goes, and the pair with it.
+            places = np.arange(last)
+            symbols = np.take_along_axis(symbols, places + (places > best[:, None]), axis=1)
+            pairs = np.arange(last - 1)
+            keep = pairs + (pairs >= best[:, None])
+            ranks, made = np.take_along_axis(ranks, keep, axis=1), np.take_along_axis(made, keep, axis=1)
+            for side in (best - 1, best):
+                at = np.flatnonzero((side >= 0) & (side < last - 1))
+                ranks[at, side[at]], made[at, side[at]] = self.lookup(symbols[at, side[at]], symbols[at, side[at] + 1])
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -55,12 +132,23 @@ class Encoder:
         #: Piece to (-score, id): the agenda takes the least first.
         self.ranks = {p: (-self.library.get_score(i), i) for i, p in enumerate(pieces) if not special[i]}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if self.library.is_byte(i)}
-        self.bytes_of = {i: b for b, i in self.byte_ids.items()}
+        bytes_of = {i: b for b, i in self.byte_ids.items()}
+        self.raw = [bytes((bytes_of[i],)) if i in bytes_of else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         if any(MARK in p.lstrip(MARK) for p in self.ranks):
             raise ValueError("the vocabulary has pieces that go on over a space")
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.pairs = Pairs(self.ranks)
+        # The id of each symbol that has one of its own; others have several, or are no symbol of a pair.
+        self.one_id = np.array([self.ranks.get(x, (0, -1))[1] for x in self.pairs.symbols], np.int32)
+        self.digits = [str(i) for i in range(size)]
+        # Packed ids of parts met since the cache was last full, and of those met before.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids_of(self, symbol: str) -> tuple[int, ...]:
+        rank = self.ranks.get(symbol)
+        return (rank[1],) if rank is not None else tuple(self.byte_ids[b] for b in symbol.encode())
 
     def merge(self, part: str) -> list[str]:
         """The symbols of `part` when the agenda is empty."""
@@ -97,50 +185,61 @@ class Encoder:
                     heapq.heappush(agenda, (rank[0], h, symbols[h] + text))
         return [s for s in symbols if s is not None]
 
-    def part_ids(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for symbol in self.merge(part):
-            rank = self.ranks.get(symbol)
-            if rank is None:
-                ids.extend(self.byte_ids[b] for b in symbol.encode())
-            else:
-                ids.append(rank[1])
-        return ids
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are gathered, marks become spaces, the first space is the one encoding put there."""
         return self.decoded(ids)[1:] if ids and self.pieces[ids[0]].startswith(MARK) else self.decoded(ids)
 
     def decoded(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            b = self.bytes_of.get(i)
-            out += self.pieces[i].replace(MARK, " ").encode() if b is None else bytes((b,))
-        return out.decode(errors="replace")
-
-    def part(self, part: str) -> tuple[str, str]:
-        """Ids of a part, each followed by a comma, and what they decode to."""
-        ids = self.part_ids(part)
-        out = "".join(f"{i}," for i in ids), self.decoded(ids)
-        if len(part) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_PARTS:
-                self.cache.clear()
-            self.cache[part] = out
+        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
+
+    def packed(self, symbols: Iterable[str]) -> bytes:
+        return np.array([i for s in symbols for i in self.ids_of(s)], np.int32).tobytes()
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Packed ids of each part."""
+        out, names = {}, self.pairs.symbols
+        short = sorted((p for p in parts if len(p) <= MATRIX_CHARS), key=len)
+        for at in range(0, len(short), MATRIX_ROWS):
+            some = short[at : at + MATRIX_ROWS]
+            for rows, symbols in self.pairs.merge(some):
+                there = symbols != ABSENT
+                ids = self.one_id[np.maximum(symbols, 0)]
+                plain = ((symbols >= 0) & (ids >= 0) | ~there).all(axis=1)
+                data, ends = ids[plain][there[plain]].tobytes(), 4 * np.cumsum(there[plain].sum(axis=1))
+                start = 0
+                for row, end in zip(rows[plain].tolist(), ends.tolist()):
+                    out[some[row]] = data[start:end]
+                    start = end
+                for i in np.flatnonzero(~plain):
+                    out[some[rows[i]]] = self.packed(names[x] if x >= 0 else chr(-1 - x) for x in symbols[i][there[i]].tolist())
+        for part in parts:
+            if len(part) > MATRIX_CHARS:
+                out[part] = self.packed(self.merge(part))
+        return out
+
+    def found(self, parts: set[str]) -> dict[str, bytes]:
+        """Packed ids of `parts`; new ones are learned together and, where short, kept."""
+        cache, older = self.cache, self.older
+        out = {p: ids for p in parts if (ids := cache.get(p) or older.get(p))}
+        learned = self.learn([p for p in parts if p not in out])
+        out.update(learned)
+        if len(cache) + len(out) > CACHE_PARTS // 2:
+            self.older, self.cache = cache, {}
+        self.cache.update({p: ids for p, ids in out.items() if len(p) <= CACHE_CHARS})
         return out
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Ids of a text joined by commas, and what they decode to."""
-        if not text:
-            return "", ""
-        get, make = self.cache.get, self.part
-        found = [get(p) or make(p) for p in PARTS.findall(MARK + text.replace(" ", MARK))]
-        ids, decoded = "".join([x[0] for x in found])[:-1], "".join([x[1] for x in found])
-        return ids, decoded[1:]
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        cut = [PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = self.found(set().union(*cut))
+        return [np.frombuffer(b"".join([known[p] for p in parts]), np.int32).tolist() for parts in cut]
 
-    def checked(self, text: str, ids: str, decoded: str) -> None:
-        want = self.library.encode(text)
-        if ",".join(map(str, want)) != ids or self.library.decode(want) != decoded:
-            raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:80]!r}")
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.digits.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -148,6 +247,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def grouped(column: pa.Array) -> Iterator[list[str]]:
+    """Texts in lists of bounded size, a longer text alone."""
+    texts, size = [], 0
+    for text in column:
+        text = text.as_py() or ""
+        if texts and size + len(text) > TEXTS_CHARS:
+            yield texts
+            texts, size = [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield texts
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, check: bool = True, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids where `with_ids`.
 
@@ -159,16 +272,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, check: bool = Tru
         own = encoder(path or model_path())
         for batch in batches:
             counts, hashes, back, lists = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids, decoded = own.encode(text)
-                if check:
-                    own.checked(text, ids, decoded)
-                counts.append(ids.count(",") + 1 if ids else 0)
-                hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                back.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    lists.append([int(i) for i in ids.split(",")] if ids else [])
+            for texts in grouped(batch.column(1)):
+                for text, ids in zip(texts, own.encode_all(texts)):
+                    if check and own.library.encode(text) != ids:
+                        raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:80]!r}")
+                    decoded = own.library.decode(ids)
+                    if check and own.decode(ids) != decoded:
+                        raise ValueError(f"the library decodes a text of {len(text)} characters otherwise: {text[:80]!r}")
+                    counts.append(len(ids))
+                    hashes.append(hashlib.sha256(own.listed(ids).encode()).hexdigest())
+                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        lists.append(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
