@@ -26,7 +26,7 @@ from foldcurve.operators.fuzzy import complete_rows, dropped_rows, fuzzify, fuzz
 from foldcurve.operators.ranking import best_cell, mean_scores, weakest
 from foldcurve.operators.roc import auc
 from foldcurve.plans.estimators import FEATURES, KEY, LABEL, NeighborsModel, Standardize, SymbolicModel, add_scores
-from foldcurve.plans import stacked, stacked_search, stacked_trees
+from foldcurve.plans import stacked, stacked_neighbors, stacked_search, stacked_trees
 from foldcurve.plans.registry import SEED as SEARCH_SEED
 from foldcurve.plans.registry import TOLERANCE, Fit, ModelSpec
 from foldcurve.plans.search import Found, Search
@@ -44,7 +44,8 @@ class FoldFit:
     score: float | None
     names: list[str]
     selected: list[int]
-    fitted: Model
+    #: None for neighbours of a stack, which have no model but the table.
+    fitted: Model | None
 
 
 @dataclass
@@ -181,7 +182,12 @@ def search_fits(table: stacked.Stack, wanted: Sequence[tuple[stacked.Fold, Mappi
     return stacked_search.search_all(table, searches, shared["scaling"])[0]
 
 
-FITS = {"LOGR": logistic_fits, "DT": tree_fits, "GP": search_fits}
+def neighbor_fits(table: stacked.Stack, wanted: Sequence[tuple[stacked.Fold, Mapping, tuple[int, ...] | None]], shared: dict) -> list[int]:
+    """Nothing to fit: the number of neighbours."""
+    return [cell["k"] for _, cell, _ in wanted]
+
+
+FITS = {"LOGR": logistic_fits, "DT": tree_fits, "GP": search_fits, "KNN": neighbor_fits}
 
 
 def evaluate_stacked(table: stacked.Stack, numbers: Sequence[int], spec: ModelSpec, n_inner: int, select: Sequence[int] | None, search: bool, label_type: str) -> tuple[DataFrame, list[FoldFit]]:
@@ -205,6 +211,8 @@ def evaluate_stacked(table: stacked.Stack, numbers: Sequence[int], spec: ModelSp
         fits = fits_of(table, [wanted(f, s) for f, s in grid], shared)
         if spec.name == "LOGR":
             held = stacked.held_out_scores(table, fits, [s for _, s in grid])
+        elif spec.name == "KNN":
+            held = stacked_neighbors.held_out_scores(table, inner, [c["k"] for c in cells], shared["scaling"])
         elif spec.name == "GP":
             held = stacked_search.held_out_scores(table, [(f, s, fit.tree) for (f, s), fit in zip(grid, fits)], shared["scaling"])
         else:
@@ -222,6 +230,9 @@ def evaluate_stacked(table: stacked.Stack, numbers: Sequence[int], spec: ModelSp
     if spec.name == "LOGR":
         tested = stacked.tested_scores(table, final)
         models: list[Model] = [stacked.LogisticModel(s) for s in final]
+    elif spec.name == "KNN":
+        tested = stacked_neighbors.tested_scores(table, {f.outer: k for f, k in zip(outer, final)}, shared["scaling"])
+        models = [None] * len(final)
     elif spec.name == "GP":
         tested = stacked_search.tested_scores(table, {f.outer: fit.tree for f, fit in zip(outer, final)}, shared["scaling"])
         models = [SymbolicModel(table.names, fit.tree, fit.fitness) for fit in final]
@@ -297,7 +308,8 @@ def evaluate(
         roles = used.select(F.lit(i).alias("fold_id"), KEY, F.when(F.col(TESTED) == 1, TEST).otherwise(TRAIN).alias("role"))
         return stacked.stack(used, names, folds=roles, n_inner=n_inner if search else 1, seed=seed)
 
-    if spec.name in FITS:
+    # Neighbour models are stacked where the table may go to every task; else each fold is a search in blocks.
+    if spec.name in FITS and (spec.name != "KNN" or not select and not n_sets and stacked_neighbors.fits(rows.count(), len(columns))):
         label_type = rows.schema[LABEL].dataType.simpleString()
 
         def whole(i: int | None) -> tuple[DataFrame, list[FoldFit]]:

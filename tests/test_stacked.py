@@ -146,7 +146,7 @@ def test_trees_grown_together_are_greedy_trees(table):
         assert len(tree.cut(2).rows()) == len(tree.cut(2).feature)
 
 
-@pytest.mark.parametrize("name, grid", [("LOGR", {"C": [0.01, 1]}), ("DT", {"depth": [1, 3], "impurity": ["gini", "entropy"]}), ("GP", {"start_depth": [(2, 2)], "population": [12, 15], "tournament": [3], "generations": [2]})])
+@pytest.mark.parametrize("name, grid", [("LOGR", {"C": [0.01, 1]}), ("DT", {"depth": [1, 3], "impurity": ["gini", "entropy"]}), ("KNN", {"k": [1, 5]}), ("GP", {"start_depth": [(2, 2)], "population": [12, 15], "tournament": [3], "generations": [2]})])
 def test_stacked_evaluation_tests_every_row_once(rows, name, grid):
     out = evaluate(rows, MODELS[name].with_grid(**grid), COLUMNS, n_outer=3, n_inner=2)
     data = out.predictions.collect()
@@ -163,6 +163,28 @@ def test_stacked_evaluation_with_memberships_and_selection(rows):
     assert reports.coefficient_table(rows.sparkSession, out.fits).count() == sum(len(f.names) for f in out.fits)
 
 
+def test_stacked_neighbors_are_those_of_single_folds(rows, table):
+    from foldcurve.plans import stacked_neighbors
+    from foldcurve.plans.estimators import NeighborsModel
+
+    folds = [Fold(o, i) for o in range(3) for i in range(4)]
+    got = stacked_neighbors.held_out_scores(table, folds, [1, 3, 7], {}).collect()
+    for fold in (Fold(0, 1), Fold(2, 3)):
+        train = train_of(table, fold)
+        hold = table.rows.where(F.col("place")[fold.outer] == fold.inner).select("row_id", F.col("y").cast("int").alias("y"), *[F.col("x")[i].alias(c) for i, c in enumerate(COLUMNS)])
+        scaler = Standardize(COLUMNS).fit(train)
+        want = sorted((r.cell, r.y, round(r.p, 9)) for r in NeighborsModel.score_all(scaler.transform(train), scaler.transform(hold), [1, 3, 7]).collect())
+        assert sorted((r.cell, r.y, round(r.p, 9)) for r in got if (r.outer, r.inner) == (fold.outer, fold.inner)) == want
+    assert not stacked_neighbors.fits(1 << 16, 2) and not stacked_neighbors.fits(1 << 14, 1 << 10)
+
+
+def test_zero_distance_decides_alone_in_a_stack():
+    from foldcurve.plans.stacked_neighbors import votes
+
+    p = votes(np.array([[0.0, 0.0, 0.5], [1.0, 2.0, np.inf]]), np.array([1.0, 0.0, 0.0]), [2, 3])
+    assert p[0].tolist() == [0.5, 0.5] and p[1].tolist() == [pytest.approx(1 / 1.5)] * 2
+
+
 # --- expressions
 
 
