@@ -56,9 +56,9 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, y and an order for the sample, of documents that have a label; only the labelled texts are moved."""
+    """doc_id, text and y of documents that have a label. Labels grow with the documents, so both sides are dealt by id at any size."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+    return docs.select("doc_id", "text").join(y.hint("merge"), "doc_id")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -242,11 +242,13 @@ def sample(rows: DataFrame, names: dict[str, int]) -> list[tuple[int, list[list[
 
     Only the feature numbers of tokens reach the driver; runs of tokens without any are sent as their length.
     """
-    order = F.xxhash64(F.lit("toxicity sample"), "doc_id", "text")
-    chosen = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(order, "doc_id").limit(SAMPLE_DOCS // 2)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    keyed = rows.withColumn("sign", F.xxhash64(F.lit("toxicity sample"), "doc_id", "text"))
+    # Signs are drawn without their texts, each once; then the texts of those drawn are fetched, one for each sign.
+    signs = keyed.groupBy("sign").agg(F.max("y").alias("label"))
+    parts = [signs.where(F.col("label") == y).orderBy("sign").limit(SAMPLE_DOCS // 2) for y in (0, 1)]
+    drawn = [r.sign for part in parts for r in part.select("sign").collect()]
+    wanted = rows.sparkSession.createDataFrame([(s,) for s in drawn], "sign long")
+    fetched = keyed.join(F.broadcast(wanted), "sign").groupBy("sign").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # SAMPLE_DOCS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +268,7 @@ def sample(rows: DataFrame, names: dict[str, int]) -> list[tuple[int, list[list[
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.list_(pa.int32()))], ["y", "coded"])
 
     out = []
-    for row in chosen.select("y", "text").mapInArrow(run, "y int, coded array<int>").collect():
+    for row in fetched.orderBy("sign").select("y", "text").mapInArrow(run, "y int, coded array<int>").collect():
         tokens: list[list[int]] = []
         for x in row.coded:
             if x < 0:
