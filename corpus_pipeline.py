@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from foldcurve.llm import jaccard, mixing, pieces, secrets, toxicity
 from foldcurve.llm.common import written
 
-#: What a row is known by in the stages that drop and copy.
-KEY = "_key"
-
 #: SQL has no field, no rounding and no tokenizer.
 ORACLE_SQL = None
 
@@ -28,24 +25,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *content: str) -> DataFrame:
-    """The rows with KEY: the id, or a hash of id and content for rows without id and rows whose id stands for several contents."""
-    sign = F.xxhash64(*[x for c in content for x in (F.col(c).isNull(), F.col(c))])
-    rows = docs.withColumn("_sign", sign)
-    signs = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_sign").alias("a"), F.max("_sign").alias("b"))
-    several = written(signs.where("a <> b").select(F.col("doc_id").alias("_several")))
-    own = F.col("doc_id").isNull() | F.col("_several").isNotNull()
-    key = F.when(own, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "_sign")).otherwise(F.col("doc_id"))
-    return rows.join(several, F.col("doc_id") == F.col("_several"), "left").withColumn(KEY, key).drop("_sign", "_several")
+    """Each row as a struct `row`, so that its columns may have any names, with its doc_id and a `key`.
+
+    The key is the id, or a hash of id and content for rows without id and rows whose id stands for several contents.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sign = F.xxhash64(*[x for c in content for x in (F.col(f"row.{c}").isNull(), F.col(f"row.{c}"))])
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), sign.alias("sign"))
+    signs = rows.where("id is not null").groupBy("id").agg(F.min("sign").alias("a"), F.max("sign").alias("b"))
+    several = written(signs.where("a <> b").select(F.col("id").alias("several")))
+    own = F.col("id").isNull() | F.col("several").isNotNull()
+    key = F.when(own, F.xxhash64(F.col("id").isNull(), "id", "sign")).otherwise(F.col("id"))
+    return rows.join(several, F.col("id") == F.col("several"), "left").select("row", "id", key.alias("key"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; of rows that share id and text one stays, without id all."""
     rows = keyed(docs.where("doc_id is not null"), "text")
-    linked = written(jaccard.join(rows.select(F.col(KEY).alias("doc_id"), "text")).select("doc_id", "component_id").distinct())
-    ids = rows.select(KEY, F.col("doc_id").alias("_id")).distinct()
-    first = linked.join(ids, F.col("doc_id") == F.col(KEY)).groupBy("component_id").agg(F.min(F.struct("_id", KEY)).alias("first"))
-    kept = written(first.select(F.col(f"first.{KEY}").alias(KEY)))
-    named = rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    linked = written(jaccard.join(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("linked"), "component_id").distinct())
+    ids = rows.select("key", "id").distinct()
+    first = linked.join(ids, F.col("linked") == F.col("key")).groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    kept = written(first.select(F.col("first.key").alias("key")))
+    named = rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -57,11 +58,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows that share an id are told apart by their text and source."""
     rows = keyed(docs, "text", "source")
-    mixed = mixing.mix(rows.drop("doc_id").withColumnRenamed(KEY, "doc_id"))
-    copies = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"))
-    taken = written(copies.where("_copies > 0").select(F.col("doc_id").alias(KEY), "_copies"))
-    rows = rows.join(taken, KEY).dropDuplicates([KEY])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mixing.mix(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source")))
+    copies = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = written(copies.where("copies > 0").select(F.col("doc_id").alias("key"), "copies"))
+    rows = rows.join(taken, "key").dropDuplicates(["key"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,18 @@ def test_rows_that_share_an_id_but_not_the_text_stay(spark):
     mixed = corpus_pipeline.mix_sources(spark, docs.where(F.col("text") != texts[2]), SF).groupBy("doc_id", "text", "source").count().collect()
     there = {k: sum((r[0], r[1], r[3]) == k for r in rows) for k in {(r[0], r[1], r[3]) for r in rows}}
     assert mixed and all(r["count"] <= 2 * there[r.doc_id, r.text, r.source] for r in mixed)
+
+
+def test_pipeline_columns_may_have_any_name(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    names = ["key", "id", "row", "sign", "several", "copies", "copy", "_key", "linked", "component_id", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    rows = [(i, t, "en", "s", 11, *[10 * i + j for j in range(len(names))]) for i, t in [(1, texts[0]), (2, texts[0]), (3, texts[1]), (4, texts[2])]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.columns == docs.columns and empty.count() == 0
