@@ -8,8 +8,10 @@ per fold, so it is the one to use on large tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,39 @@ def masks_to_rows(masks: DataFrame, fold: str = "fold_id") -> DataFrame:
     return ones.select(fold, F.col("row_id").cast("long").alias("row_id"), role.alias("role")).where("role is not null")
 
 
+# Fixed values of Spark's bitmap functions: bits in a block; positive ids count from 1, others run down from 0.
+BLOCK_BITS = 32768
+
+
+def rows_to_bitmaps(roles: DataFrame, key: str = "row_id") -> DataFrame:
+    """(fold_id, <key>, role) -> (fold_id, role, block, bitmap): a bit for each row id, 4 KB for each 32768 ids.
+
+    A fold's mask is as many rows as it has blocks, so no row of it grows with the table. Blocks are put together in
+    the tasks first. Ids need not be dense; blocks without a row are not there.
+    """
+    return roles.groupBy("fold_id", "role", F.bitmap_bucket_number(key).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bitmap"))
+
+
+def union_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """Masks from several sources, or of roles that have been merged, as one."""
+    return bitmaps.groupBy("fold_id", "role", "block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def bitmaps_to_rows(bitmaps: DataFrame, key: str = "row_id") -> DataFrame:
+    """(fold_id, role, block, bitmap) -> (fold_id, <key>, role), block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, role, block, bitmap in zip(*[batch.column(c).to_pylist() for c in ("fold_id", "role", "block", "bitmap")]):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")).astype(np.int64)
+                ids = (block - 1) * BLOCK_BITS + at + 1 if block > 0 else block * BLOCK_BITS - at
+                if len(ids):
+                    columns = [pa.array(np.full(len(ids), fold, np.int32)), pa.array(ids), pa.array([role] * len(ids))]
+                    yield pa.RecordBatch.from_arrays(columns, ["fold_id", key, "role"])
+
+    return bitmaps.select(F.col("fold_id").cast("int").alias("fold_id"), "role", "block", "bitmap").mapInArrow(run, f"fold_id int, {key} long, role string")
+
+
 def merge_valid(roles: DataFrame) -> DataFrame:
     """Count validation rows as training rows."""
     return roles.withColumn("role", F.when(F.col("role") == VALID, TRAIN).otherwise(F.col("role")))

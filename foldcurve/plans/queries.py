@@ -893,6 +893,29 @@ def external_fold_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("fold_bitmaps", SQL_ROLES)
+def fold_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles of all orders as bitmaps by block, made from two halves of the orders, and back to rows."""
+    role = F.expr(
+        "case when row_id % 7 = fold_id or row_id % 7 = fold_id + 3 then 'test' when row_id % 7 = 6 then null"
+        " when row_id % 7 = fold_id + 1 then 'valid' else 'train' end"
+    )
+    given = table(spark, folder, "orders").selectExpr("o_orderkey as row_id", "explode(array(0, 1, 2)) as fold_id").withColumn("role", role).where("role is not null")
+    halves = [folds.rows_to_bitmaps(given.where(F.col("row_id") % 2 == i)) for i in (0, 1)]
+    return folds.bitmaps_to_rows(folds.union_bitmaps(halves[0].unionByName(halves[1])))
+
+
+@query(
+    "positioned_rows",
+    "select row_number() over () - 1 as row_id, o_totalprice, cast(o_orderstatus = 'F' as integer) as y from orders",
+)
+def positioned_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders without their key, numbered by their place in the file."""
+    from foldcurve.sources.tables import by_position
+
+    return by_position(table(spark, folder, "orders")).selectExpr("__row as row_id", "o_totalprice", "int(o_orderstatus = 'F') as y")
+
+
 TEXTS = ["sub(b, mul(a, 13))", "add(div(a, b), -0.5)", "max(a, neg(b))"]
 
 

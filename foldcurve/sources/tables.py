@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldcurve.operators.align import to_long
-from foldcurve.operators.folds import masks_to_rows
+from foldcurve.operators.folds import bitmaps_to_rows, masks_to_rows
+from foldcurve.operators.running import ordinal, running_totals
 
 BOM = "﻿"
+ROW = "__row"
 
 
 def double_schema(columns: Sequence[str], label: str | None = None) -> T.StructType:
@@ -43,14 +45,35 @@ def read_features(
 ) -> DataFrame:
     """Feature columns, `y` and `row_id`.
 
-    `row_id` is the table's own key column. Without one it is a hash of the whole
-    row, which does not change between reads but is shared by identical rows:
-    pass `key` for any table that may hold the same row twice.
+    `row_id` is the table's own key column. Without one, rows of Parquet files are numbered by their place, file
+    after file, and rows of other formats by a hash of the row and its turn among equal rows. Either way each row has
+    an id of its own, which does not change while the files do not.
     """
     df = read_table(spark, path, format, schema)
     columns = feature_names(df, label, [key] if key else []) if columns is None else list(columns)
-    row = F.col(key).cast("long") if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(row.alias("row_id"), *[F.col(f"`{c}`") for c in columns], F.col(label).cast("int").alias("y"))
+    if key:
+        rows = df.withColumn(ROW, F.col(key).cast("long"))
+    elif format == "parquet":
+        rows = by_position(spark.read.schema(df.schema).parquet(path))
+    else:
+        rows = by_content(df)
+    return rows.select(F.col(ROW).alias("row_id"), *[F.col(f"`{c}`") for c in columns], F.col(label).cast("int").alias("y"))
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """Rows of Parquet files with their number in all files. Files come in the order of a hash of their path; where each begins is a running total over files."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    files = placed.groupBy("__file").agg((F.max("__index") + 1).alias("__size")).withColumn("__order", F.xxhash64("__file"))
+    starts = running_totals(files, [], "__order", ["__size"], ties=["__file"]).select(F.col("__file").alias("__of"), F.expr("through___size - __size").alias("__start"))
+    joined = placed.join(starts, F.col("__file") == F.col("__of"))
+    return joined.withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__of", "__start")
+
+
+def by_content(df: DataFrame) -> DataFrame:
+    """Rows with a hash of what they hold and of their turn among equal rows, which are alike, so that any order of them will do."""
+    hashed = df.withColumn("__hash", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn("__turn", F.monotonically_increasing_id())
+    numbered = ordinal(hashed, ["__hash"], "__turn", "__nth")
+    return numbered.withColumn(ROW, F.when(F.col("__nth") == 1, F.col("__hash")).otherwise(F.xxhash64("__hash", "__nth"))).drop("__hash", "__turn", "__nth")
 
 
 def feature_names(df: DataFrame, label: str = "class", others: Sequence[str] = ()) -> list[str]:
@@ -69,8 +92,10 @@ def read_baseline(spark: SparkSession, path: str, column: str = "BFP", label: st
 
 
 def read_folds(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Outer folds as (fold_id, row_id, role), from that form or from 0/1 mask arrays per fold."""
+    """Outer folds as (fold_id, row_id, role), from that form, from bitmaps by block, or from 0/1 mask arrays per fold."""
     df = read_table(spark, path, format)
+    if "bitmap" in df.columns:
+        return bitmaps_to_rows(df)
     if {"train", "valid", "test"} <= set(df.columns):
         return masks_to_rows(df)
     return df.select(F.col("fold_id").cast("int"), F.col("row_id").cast("long"), "role")

@@ -190,3 +190,29 @@ def test_sources_and_sinks(spark, predictions, tmp_path):
     roles = spark.createDataFrame([(0, 5, "train")], "fold_id int, row_id long, role string")
     roles.write.parquet(str(tmp_path / "folds"))
     assert tables.fold_count(tables.read_folds(spark, str(tmp_path / "folds"))) == 1
+
+
+def test_rows_without_a_key_have_ids_of_their_own(spark, tmp_path):
+    """Equal rows in several files: different ids, the same in every reading."""
+    rows = [(1.0, 0)] * 50 + [(float(i), 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, class int")
+    df.repartition(5).write.parquet(str(tmp_path / "p"))
+    df.repartition(5).write.option("header", True).csv(str(tmp_path / "c"))
+    for path, how in (("p", {}), ("c", {"format": "csv", "schema": "a double, class int"})):
+        first = tables.read_features(spark, str(tmp_path / path), **how).collect()
+        again = tables.read_features(spark, str(tmp_path / path), **how).repartition(3).collect()
+        assert sorted(first) == sorted(again) and len({r.row_id for r in first}) == 80
+        assert sorted((r.a, r.y) for r in first) == sorted(rows)
+    numbered = tables.read_features(spark, str(tmp_path / "p"))
+    assert sorted(r.row_id for r in numbered.collect()) == list(range(80))
+
+
+def test_bitmaps_hold_roles_by_block(spark, tmp_path):
+    ids = [-40000, -32768, -5, 0, 1, 2, 32768, 32769, 100_000, 5_000_000_000]
+    roles = spark.createDataFrame([(f, i, "test" if k % 3 == f else "train") for f in (0, 1) for k, i in enumerate(ids)], "fold_id int, row_id long, role string")
+    maps = folds.rows_to_bitmaps(roles.unionByName(roles))
+    assert maps.agg(F.max(F.octet_length("bitmap"))).first()[0] == 4096
+    assert sorted(folds.bitmaps_to_rows(maps).select(*roles.columns).collect()) == sorted(roles.collect())
+    maps.write.parquet(str(tmp_path / "m"))
+    assert sorted(tables.read_folds(spark, str(tmp_path / "m")).select(*roles.columns).collect()) == sorted(roles.collect())
+    assert folds.bitmaps_to_rows(maps.where("false")).count() == 0
