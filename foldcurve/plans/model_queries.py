@@ -204,14 +204,15 @@ def logistic_optimum(spark: SparkSession, folder: str) -> DataFrame:
     fits = stacked.solve(rows, [stacked.Problem(stacked.Fold(o), float(c)) for o in range(OUTER) for c in MODELS["LOGR"].grid["C"]])
     parts = []
     for o in range(OUTER):
-        train = rows.rows.where(F.col("place")[o] >= 0)
+        n, checks = F.count(F.lit(1)), []
         for fit in (f for f in fits if f.problem.fold.outer == o):
             z = [(F.col("x")[i] - float(fit.mean[i])) / float(fit.deviation[i]) for i in range(len(TEXT_FEATURES))]
             margin = sum((F.lit(float(w)) * x for w, x in zip(fit.weights, z)), F.lit(fit.intercept))
             residual = symbolic.logistic(margin) - F.col("y")
             slopes = [F.abs(F.sum(residual))] + [F.abs(F.sum(residual * x) + float(w) / fit.problem.C) for w, x in zip(fit.weights, z)]
-            n = F.count(F.lit(1))
-            parts.append(train.agg(n.alias("n_train"), (F.greatest(*slopes) / n < 1e-6).alias("at_optimum")).select(F.lit(o).alias("fold_id"), F.lit(fit.problem.C).alias("penalty"), "n_train", "at_optimum"))
+            checks.append(F.struct(F.lit(fit.problem.C).alias("penalty"), (F.greatest(*slopes) / n < 1e-6).alias("at_optimum")))
+        held = rows.rows.where(F.col("place")[o] >= 0).agg(n.alias("n_train"), F.array(*checks).alias("checks"))
+        parts.append(held.select(F.lit(o).alias("fold_id"), "n_train", F.inline("checks")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldcurve.operators import align, folds, fuzzy, neighbors, ranking, roc, scale, symbolic
+from foldcurve.operators import align, folds, fuzzy, importance, neighbors, ranking, roc, scale, symbolic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -965,3 +965,27 @@ def one_hot_sparse(spark: SparkSession, folder: str) -> DataFrame:
     """As many categories as customers, numbered without a list of them."""
     return fuzzy.one_hot_sparse(table(spark, folder, "customer").selectExpr("c_custkey as row_id", "c_name"), ["c_name"], "row_id")
 
+
+
+# What a column means to a score -------------------------------------------
+
+SQL_CONSTRUCTED = """
+with r as (select o_orderkey as row_id, case when o_orderstatus = 'F' then 1 else 0 end as y, o_totalprice / 100000.0 as a, o_orderkey % 11 as b, o_orderkey % 3 as c from orders),
+d as (select *, lead(a, 1, first_a) over w as da, lead(b, 1, first_b) over w as db, lead(c, 1, first_c) over w as dc
+  from (select *, first(a) over v as first_a, first(b) over v as first_b, first(c) over v as first_c from r window v as (order by row_id)) window w as (order by row_id)),
+s as (select y, unnest(['', 'a', 'b', 'c']) as feature, unnest([a - b * 0.1, da - b * 0.1, a - db * 0.1, a - b * 0.1]) as p from d),
+k as (select feature, y, rank() over (partition by feature order by p) + (count(*) over (partition by feature, p) - 1) / 2.0 as r from s),
+g as (select feature, (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) as auc from k group by feature)
+select 'made' as model, 'sub(a, mul(b, 0.1))' as text, 5 as length, 2 as depth, feature, round(auc, 9) as auc, round((select auc from g where feature = '') - auc, 9) as importance
+from g where feature <> ''
+"""
+
+
+@query("constructed_importance", SQL_CONSTRUCTED)
+def constructed_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """A constructed feature, and what is lost when each column is taken from the next order; it does not use c."""
+    rows = table(spark, folder, "orders").selectExpr(
+        "o_orderkey as row_id", "int(o_orderstatus = 'F') as y", "o_totalprice / 100000d as a", "double(o_orderkey % 11) as b", "double(o_orderkey % 3) as c"
+    )
+    tree = symbolic.from_text("sub(a, mul(b, 0.1))")
+    return rounded(importance.constructed_importance(rows, {"made": tree}, ["a", "b", "c"], seed=None), "auc", "importance", digits=9)

@@ -245,6 +245,28 @@ def test_search_agrees_with_columns(rows):
     random.seed(1)
 
 
+def test_permutation_importance_by_hand(rows):
+    from foldcurve.operators import importance
+
+    donated = {r.row_id: r["__donor"] for r in importance.with_donors(rows, COLUMNS, shift=3).collect()}
+    own = {r.row_id: tuple(r[c] for c in COLUMNS) for r in rows.collect()}
+    assert sorted(map(tuple, donated.values())) == sorted(own.values()) and all(tuple(donated[i]) != own[i] for i in own)
+    out = {r.feature: r for r in importance.permutation_importance(rows, lambda x: x["x0"] - x["x1"], COLUMNS, shift=3).collect()}
+    y = {r.row_id: r.y for r in rows.collect()}
+
+    def area(p):
+        pairs = [(p[i], p[j]) for i in y for j in y if y[i] > y[j]]
+        return sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+
+    whole = area({i: v[0] - v[1] for i, v in own.items()})
+    assert out["x0"].auc == pytest.approx(area({i: donated[i].x0 - v[1] for i, v in own.items()}))
+    assert out["x1"].importance == pytest.approx(whole - area({i: v[0] - donated[i].x1 for i, v in own.items()}))
+    assert out["x2"].importance == 0 == out["x3"].importance and out["x1"].importance > 0
+    assert importance.with_donors(rows.where("false"), COLUMNS).count() == 0
+    grouped = importance.permutation_importance(rows, lambda x: x["x1"], COLUMNS, keys=["part"]).collect()
+    assert len(grouped) == 12 and all(r.importance == 0 for r in grouped if r.feature != "x1")
+
+
 # --- all registered queries
 
 
