@@ -61,7 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source")))
     copies = mixed.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
     taken = written(copies.where("copies > 0").select(F.col("doc_id").alias("key"), "copies"))
-    rows = rows.join(taken, "key").dropDuplicates(["key"])
+    # Both sides grow with the documents, so they are dealt by key at any size.
+    rows = rows.join(taken.hint("merge"), "key").dropDuplicates(["key"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
