@@ -202,21 +202,18 @@ def logistic_optimum(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the slope of the objective vanishes for every outer fold and penalty, summed up over the rows anew."""
     rows = document_stack(spark, folder)
     fits = stacked.solve(rows, [stacked.Problem(stacked.Fold(o), float(c)) for o in range(OUTER) for c in MODELS["LOGR"].grid["C"]])
-    parts = []
-    for o in range(OUTER):
-        n, checks = F.count(F.lit(1)), []
-        for fit in (f for f in fits if f.problem.fold.outer == o):
-            z = [(F.col("x")[i] - float(fit.mean[i])) / float(fit.deviation[i]) for i in range(len(TEXT_FEATURES))]
-            margin = sum((F.lit(float(w)) * x for w, x in zip(fit.weights, z)), F.lit(fit.intercept))
-            residual = symbolic.logistic(margin) - F.col("y")
-            slopes = [F.abs(F.sum(residual))] + [F.abs(F.sum(residual * x) + float(w) / fit.problem.C) for w, x in zip(fit.weights, z)]
-            checks.append(F.struct(F.lit(fit.problem.C).alias("penalty"), (F.greatest(*slopes) / n < 1e-6).alias("at_optimum")))
-        held = rows.rows.where(F.col("place")[o] >= 0).agg(n.alias("n_train"), F.array(*checks).alias("checks"))
-        parts.append(held.select(F.lit(o).alias("fold_id"), "n_train", F.inline("checks")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    listed = [(f.problem.fold.outer, f.problem.C, f.intercept, f.weights.tolist(), f.mean.tolist(), f.deviation.tolist()) for f in fits]
+    spec = spark.createDataFrame(listed, "fold_id int, penalty double, intercept double, weights array<double>, mean array<double>, deviation array<double>")
+    trained = rows.rows.select("y", "x", F.posexplode("place").alias("fold_id", "inner")).where("inner >= 0")
+    each = trained.join(F.broadcast(spec), "fold_id")  # a row for each fold and penalty
+    each = each.withColumn("z", F.zip_with(F.zip_with("x", "mean", lambda a, m: a - m), "deviation", lambda a, s: a / s))
+    margin = F.aggregate(F.zip_with("z", "weights", lambda a, w: a * w), F.lit(0.0), lambda t, v: t + v) + F.col("intercept")
+    each = each.withColumn("residual", symbolic.logistic(margin) - F.col("y"))
+    terms = F.concat(F.array("residual"), F.transform("z", lambda v: v * F.col("residual")))
+    of_penalty = F.concat(F.array(F.lit(0.0)), F.transform("weights", lambda w: w / F.col("penalty")))
+    cells = each.select("fold_id", "penalty", F.posexplode(F.arrays_zip(terms.alias("term"), of_penalty.alias("more"))).alias("at", "cell"))
+    slopes = cells.groupBy("fold_id", "penalty", "at").agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum("cell.term") + F.max("cell.more")).alias("slope"))
+    return slopes.groupBy("fold_id", "penalty").agg(F.max("n").alias("n_train"), (F.max(F.col("slope") / F.col("n")) < 1e-6).alias("at_optimum"))
 
 
 @query(
