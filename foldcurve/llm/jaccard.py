@@ -13,11 +13,18 @@ counts of a pair are added up over blocks. Bounds by size keep the product small
 Shingles are counted over all documents, in the same blocks; the most frequent ones,
 their number bounded, are sent to all tasks. They only set the order, which may be any,
 so results never depend on them. Equal sets are one row of the matrix. Pairs go
-in two rounds. The first compares each document with one other, the smallest id of the
-lists they share most of; documents found linked are then one component. The second
-compares all pairs of *different* components that pass the bounds, so a group of near
-copies is never expanded into its pairs, and no link between components is lost. Every
-reported link comes from the exact sizes of intersection and union.
+in three rounds; documents found linked are one component in the next. The first compares
+each document with one other, the smallest id of the lists they share most of. The second
+compares it with the few of other components that are nearest by their sketches, among
+those of a like size in its lists. The third makes all pairs of *different* components that
+pass the bounds, so a group of near copies is never expanded into its pairs, and no link
+between components is lost. Every reported link comes from the exact sizes of intersection
+and union.
+
+A sketch is the parity of a set's shingles by some bits of their hashes. The bits in which
+two sketches differ are at most the shingles in one set alone, and sets link only if those
+are at most a seventh of both sizes: a pair beyond that leaves the product for sure. Without
+this, near copies that miss the threshold by little would all become pairs.
 
 Shingles are 64-bit hashes of words; texts are lower-cased in A-Z alone. Null texts and
 texts without words have the empty set and link with nothing. Rows that share a doc_id
@@ -51,6 +58,13 @@ FREQUENT_KEPT, FREQUENT_LEAST = 1_000_000, 4
 #: Bits of a hash that counting tells apart inside a block.
 COUNTED_BITS = 40
 BLOCKS_PER_PARTITION = 2
+#: Sketches have the power of two of bits from twice the set's size on, within these.
+SKETCH_LEAST, SKETCH_MOST = 128, 4096
+#: The second round looks at so many documents of the next sizes in a list, and keeps so many of the nearest. The
+#: third round makes up for what these leave out, so they change the speed alone.
+WINDOW, NEAREST = 128, 4
+#: Pairs of places in lists, and pairs of sketches, that a task holds at once.
+PAIRS_HELD, SKETCHES_HELD = 1 << 20, 1 << 16
 #: Documents compared with one leader in one group.
 LEADER_GROUP = 512
 
@@ -133,28 +147,36 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
 
-COUNTED = "block int, doc_id long, n long, key binary, h binary, c binary"
+def sketch(found: np.ndarray) -> bytes:
+    """The parity of the set's hashes by their lowest bits: its two halves xored are the sketch of half the bits."""
+    bits = min(max(1 << (2 * len(found) - 1).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+COUNTED = "block int, doc_id long, n long, key binary, sketch binary, h binary, c binary"
 
 
 def sets(docs: DataFrame, blocks: int) -> DataFrame:
-    """A row per document (doc_id, n, and a key that equal sets share), and rows of the most frequent shingles of a
-    block, packed with their counts."""
+    """A row per document (doc_id, n, its sketch, and a key that equal sets share), and rows of the most frequent
+    shingles of a block, packed with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         names = [c.split()[0] for c in COUNTED.split(", ")]
         for batch in batches:
-            n, keys, distinct = [], [], {}
+            n, keys, sketches, distinct = [], [], [], {}
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 n.append(len(found))
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
                 keys.append(key)
+                sketches.append(sketch(found) if len(found) else None)
                 if key is not None:
                     distinct[key] = found
             blank = pa.nulls(len(n), pa.binary())
             # Document rows go along to any block.
-            yield pa.RecordBatch.from_arrays([pa.array([i % blocks for i in range(len(n))], kinds[0]), batch.column(0), pa.array(n, kinds[1]), pa.array(keys, kinds[3]), blank, blank], names)
+            yield pa.RecordBatch.from_arrays([pa.array([i % blocks for i in range(len(n))], kinds[0]), batch.column(0), pa.array(n, kinds[1]), pa.array(keys, kinds[3]), pa.array(sketches, kinds[3]), blank, blank], names)
             if not distinct:
                 continue
             key = counted_key(np.concatenate(list(distinct.values())), blocks)
@@ -166,7 +188,7 @@ def sets(docs: DataFrame, blocks: int) -> DataFrame:
             starts, ends = runs(block)
             packed = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (low, count)]
             none = pa.nulls(len(starts), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), none, none, pa.nulls(len(starts), pa.binary()), *packed], names)
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), none, none, *[pa.nulls(len(starts), pa.binary())] * 2, *packed], names)
 
     def count_block(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.is_null(table["h"]))
@@ -182,13 +204,13 @@ def sets(docs: DataFrame, blocks: int) -> DataFrame:
         if len(often) > most:
             often = often[np.lexsort((key[often], -count[often]))[:most]]
         full = key[often] | np.uint64((table["block"][0].as_py() if len(table) else 0) << COUNTED_BITS)
-        names = ["doc_id", "n", "key", "h", "c"]
+        names = ["doc_id", "n", "key", "sketch", "h", "c"]
         kept = pa.Table.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([full.tobytes()], pa.binary()), pa.array([count[often].tobytes()], pa.binary())], names
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([full.tobytes()], pa.binary()), pa.array([count[often].tobytes()], pa.binary())], names
         )
         return pa.concat_tables([rows.select(names), kept])
 
-    return ids_and_texts(docs).mapInArrow(run, COUNTED).groupBy("block").applyInArrow(count_block, "doc_id long, n long, key binary, h binary, c binary")
+    return ids_and_texts(docs).mapInArrow(run, COUNTED).groupBy("block").applyInArrow(count_block, COUNTED.replace("block int, ", ""))
 
 
 def postings(docs: DataFrame, frequent, blocks: int) -> DataFrame:
@@ -235,7 +257,10 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def multiply_stars(table: pa.Table) -> pa.Table:
-    """Of one column block: its lists of two documents or more, and overlap counts with each list's smallest id."""
+    """Of one column block: its lists of two documents or more, and overlap counts with each list's smallest id.
+
+    The lists come as a row per document, with the packed hashes of those it is in.
+    """
     names = ["block", "h", "doc", "n", "leader", "common"]
     h = np.frombuffer(b"".join(table["h"].to_pylist()), np.uint64)
     doc = np.frombuffer(b"".join(table["doc"].to_pylist()), np.int64)
@@ -252,44 +277,114 @@ def multiply_stars(table: pa.Table) -> pa.Table:
     star = (doc != doc[lead]) & (DENOMINATOR * small.astype(np.int64) >= NUMERATOR * large.astype(np.int64))
     pairs = np.stack([doc[star], doc[lead][star]], 1)
     pairs, common = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, int))
-    block = np.full(len(h), table["block"][0].as_py() if table.num_rows else 0, np.int32)
-    lists = pa.Table.from_arrays([pa.array(block), pa.array(h.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names)
+    order = np.lexsort((n, doc))
+    h, doc, n = h[order], doc[order], n[order]
+    starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]))) if len(h) else np.zeros(0, int)
+    ends = np.append(starts[1:], len(h))
+    packed = pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+    block = np.full(len(starts), table["block"][0].as_py() if table.num_rows else 0, np.int32)
+    none = pa.nulls(len(starts), pa.int64())
+    lists = pa.Table.from_arrays([pa.array(block), packed, pa.array(doc[starts]), pa.array(n[starts].astype(np.int64)), none, none], names)
     m = len(pairs)
     none = pa.nulls(m, pa.int64())
-    stars = pa.Table.from_arrays([pa.nulls(m, pa.int32()), none, pa.array(pairs[:, 0]), none, pa.array(pairs[:, 1]), pa.array(common.astype(np.int64))], names)
+    stars = pa.Table.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(pairs[:, 0]), none, pa.array(pairs[:, 1]), pa.array(common.astype(np.int64))], names)
     return pa.concat_tables([lists, stars])
 
 
-def multiply_apart(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of one column block: overlap counts of pairs of different components whose sizes allow a link."""
-    h, doc, n, comp = (table[c].to_numpy() for c in ("h", "doc", "n", "component"))
+class Sketches:
+    """The sketches of a block's documents by level (their bits as a power of two)."""
+
+    def __init__(self, packed: list[bytes | None]):
+        # Documents without a sketch, whose id stands for several sets, are at no level.
+        self.level = np.array([-1 if x is None else (8 * len(x)).bit_length() - 1 for x in packed], np.int64)
+        self.place: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for level in np.unique(self.level[self.level >= 0]):
+            own, above = np.flatnonzero(self.level == level), np.flatnonzero(self.level == level + 1)
+            width = 1 << (level - 6)
+            whole = np.frombuffer(b"".join(packed[i] for i in own), np.uint64).reshape(-1, width)
+            twice = np.frombuffer(b"".join(packed[i] for i in above), np.uint64).reshape(-1, 2 * width)
+            self.rows[level] = np.concatenate([whole, twice[:, :width] ^ twice[:, width:]])
+            self.place[level] = np.zeros(len(packed), np.int64)
+            self.place[level][np.concatenate([own, above])] = np.arange(len(own) + len(above))
+
+    def apart(self, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one set of each pair alone. The larger set may be a level higher."""
+        out = np.zeros(len(small), np.int64)
+        level = np.where(self.level[large] < 0, -1, self.level[small])
+        for one in np.unique(level[level >= 0]):
+            at = np.flatnonzero(level == one)
+            rows, place = self.rows[one], self.place[one]
+            for i in range(0, len(at), SKETCHES_HELD):
+                part = at[i : i + SKETCHES_HELD]
+                out[part] = np.bitwise_count(rows[place[small[part]]] ^ rows[place[large[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def pairs_apart(table: pa.Table, window: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of one column block: pairs of different components that sizes and sketches allow to link, each part of the lists
+    by itself. (document rows, small and large; how many lists of the part hold the pair; shingles apart at least)"""
+    n, comp = table["n"].to_numpy(), table["component"].to_numpy()
+    packed = table["h"].to_pylist()
+    sketches = Sketches(table["sketch"].to_pylist())
+    row = np.repeat(np.arange(len(n)), [len(x) // 8 for x in packed])
+    h = np.frombuffer(b"".join(packed), np.uint64)
+    del packed
     # Lists ordered by size: partners of a document stand in a window behind it.
-    order = np.lexsort((doc, n, h))
-    h, doc, n, comp = h[order], doc[order], n[order], comp[order]
+    order = np.lexsort((row, n[row], h))
+    h, row = h[order], row[order]
     starts, ends = runs(h)
-    found: list[np.ndarray] = []
-    held = 0
-    for a, b in zip(starts, ends):
-        if b - a < 2 or (comp[a:b] == comp[a]).all():
-            continue
-        sizes, ids, comps = n[a:b], doc[a:b], comp[a:b]
-        stops = np.searchsorted(sizes, DENOMINATOR * sizes // NUMERATOR, side="right")
-        for i in range(b - a - 1):
-            other = np.flatnonzero(comps[i + 1 : stops[i]] != comps[i]) + i + 1
-            if len(other):
-                x = np.full(len(other), ids[i])
-                found.append(np.stack([np.minimum(x, ids[other]), np.maximum(x, ids[other]), np.full(len(other), min(COMMON, least_overlap(int(sizes[i]))))], 1))
-                held += len(other)
-        if held > 1_000_000:
-            yield counted(found)
-            found, held = [], 0
-    yield counted(found)
-
-
-def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    pairs, common = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, int))
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)] + [pa.array(common.astype(np.int64))], ["a", "b", "need", "common"])
+    if not len(starts):
+        return
+    several = np.minimum.reduceat(comp[row], starts) != np.maximum.reduceat(comp[row], starts)
+    row = row[np.repeat(several, ends - starts)]
+    length = (ends - starts)[several]
+    if not len(row):
+        return
+    part = np.repeat(np.arange(len(length)), length) << 40
+    size = n[row]
+    stop = np.searchsorted(part + size, part + DENOMINATOR * size // NUMERATOR, side="right")
+    here = np.arange(len(row))
+    if window is not None:
+        stop = np.minimum(stop, here + 1 + window)
+    total = np.append(0, np.cumsum(stop - here - 1))
+    first = 0
+    while first < len(row):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS_HELD, side="right")) - 1)
+        partners = np.diff(total[first : last + 1])
+        small = np.repeat(here[first:last], partners)
+        large = small + 1 + np.arange(len(small)) - np.repeat(total[first:last] - total[first], partners)
+        small, large = row[small], row[large]
+        differ = comp[small] != comp[large]
+        code, held = np.unique(small[differ] * len(n) + large[differ], return_counts=True)
+        small, large = code // len(n), code % len(n)
+        delta = sketches.apart(small, large)
+        may = (DENOMINATOR - NUMERATOR) * (n[small] + n[large]) >= (DENOMINATOR + NUMERATOR) * delta
+        yield small[may], large[may], held[may], delta[may]
+        first = last
+
+
+def multiply_near(table: pa.Table) -> pa.Table:
+    """Of one column block: for each document the nearest few of other components, by sketches, in a window of sizes."""
+    doc = table["doc"].to_numpy()
+    best = np.zeros((0, 3), np.int64)
+    for small, large, _, delta in pairs_apart(table, WINDOW):
+        both = np.concatenate([best, np.stack([small, delta, large], 1), np.stack([large, delta, small], 1)])
+        best = np.unique(both, axis=0)
+        starts, ends = runs(best[:, 0])
+        best = best[np.arange(len(best)) - np.repeat(starts, ends - starts) < NEAREST]
+    return pa.Table.from_arrays([pa.array(doc[best[:, 0]]), pa.array(doc[best[:, 2]]), pa.array(best[:, 1])], ["doc", "other", "delta"])
+
+
+def multiply_apart(table: pa.Table) -> pa.Table:
+    """Of one column block: overlap counts of all pairs of different components that sizes and sketches allow to link."""
+    doc, n = table["doc"].to_numpy(), table["n"].to_numpy()
+    found = [np.stack([doc[small], doc[large], np.minimum(COMMON, least_overlap(n[small])), held], 1) for small, large, held, _ in pairs_apart(table, None)]
+    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    ends = np.sort(pairs[:, :2], axis=1)
+    keyed, back = np.unique(np.concatenate([ends, pairs[:, 2:3]], 1), axis=0, return_inverse=True)
+    common = np.bincount(back.reshape(-1), pairs[:, 3], len(keyed)).astype(np.int64)
+    return pa.Table.from_arrays([pa.array(keyed[:, i].astype(np.int64)) for i in range(3)] + [pa.array(common)], ["a", "b", "need", "common"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -329,7 +424,7 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = BLOCKS_PER_PARTITION * partitions(spark)
     both = written(sets(docs, blocks))
-    rows = both.where("n is not null").select("doc_id", "n", "key")
+    rows = both.where("n is not null").select("doc_id", "n", "key", "sketch")
     # One row per block: FREQUENT_KEPT shingles at most in all.
     often = both.where("h is not null").select("h", "c").collect()
     keys = np.frombuffer(b"".join(bytes(r.h) for r in often), np.uint64)
@@ -342,16 +437,30 @@ def join(docs: DataFrame) -> DataFrame:
     same = written(full.join(written(same), "key").select("a", F.col("doc_id").alias("b"), "n").distinct())
     # Only representatives take part in pairs.
     chosen = written(same.where("a = b").select(F.col("a").alias("doc")))
-    product = written(postings(docs, frequent, blocks).groupBy("block").applyInArrow(multiply_stars, "block int, h long, doc long, n long, leader long, common long"))
+    product = written(postings(docs, frequent, blocks).groupBy("block").applyInArrow(multiply_stars, "block int, h binary, doc long, n long, leader long, common long"))
     stars = product.where("leader is not null").groupBy("doc", "leader").agg(F.sum("common").alias("common"))
     stars = stars.join(chosen, "doc").join(chosen.withColumnRenamed("doc", "leader"), "leader")
     best = stars.groupBy("doc").agg(F.max(F.struct("common", (-F.col("leader")).alias("l"))).alias("best"))
     first = written(verified(docs, best.select((-F.col("best")["l"]).alias("a"), F.col("doc").alias("b"))))
     known = written(components(same.select("a", "b").unionByName(first)))
 
-    lists = product.where("leader is null").select("block", "h", "doc", "n").join(chosen, "doc")
-    labelled = lists.join(known, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = labelled.select("block", "h", "doc", "n", "component").groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(multiply_apart(t)), "a long, b long, need long, common long")
+    # An id that stands for several sets has no sketch.
+    several = full.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l"), F.min("sketch").alias("sketch"))
+    drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).select("doc", F.expr("if(k = l, sketch, null)").alias("sketch"))
+    lists = product.where("leader is null").select("block", "h", "doc", "n").join(written(drawn), "doc")
+
+    def labelled(known: DataFrame):
+        rows = lists.join(known, F.col("doc") == F.col("node"), "left")
+        return rows.select("block", "h", "doc", "n", F.coalesce("component", "doc").alias("component"), "sketch").groupBy("block")
+
+    nearest = labelled(known).applyInArrow(multiply_near, "doc long, other long, delta long").groupBy("doc")
+    # At most NEAREST partners from each block.
+    nearest = nearest.agg(F.slice(F.array_sort(F.collect_set(F.struct("delta", "other"))), 1, NEAREST).alias("others"))
+    nearest = nearest.select("doc", F.explode("others.other").alias("other"))
+    middle = written(verified(docs, written(nearest.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct())))
+    known = written(components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(middle)))
+
+    apart = labelled(known).applyInArrow(multiply_apart, "a long, b long, need long, common long")
     near = apart.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
     second = written(verified(docs, written(near)))
     final = components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second))
