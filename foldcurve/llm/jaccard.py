@@ -257,9 +257,9 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def multiply_stars(table: pa.Table) -> pa.Table:
-    """Of one column block: its lists of two documents or more, and overlap counts with each list's smallest id.
+    """Of one column block: its lists, and overlap counts with each list's smallest id.
 
-    The lists come as a row per document, with the packed hashes of those it is in.
+    The lists come as a row per document, with the packed hashes of those where another has a size that allows a link.
     """
     names = ["block", "h", "doc", "n", "leader", "common"]
     h = np.frombuffer(b"".join(table["h"].to_pylist()), np.uint64)
@@ -277,6 +277,12 @@ def multiply_stars(table: pa.Table) -> pa.Table:
     star = (doc != doc[lead]) & (DENOMINATOR * small.astype(np.int64) >= NUMERATOR * large.astype(np.int64))
     pairs = np.stack([doc[star], doc[lead][star]], 1)
     pairs, common = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, int))
+    # By size, a partner of any size that fits means that the next one on some side fits.
+    order = np.lexsort((n, h))
+    h, doc, n = h[order], doc[order], n[order]
+    fits = (h[1:] == h[:-1]) & (DENOMINATOR * n[:-1].astype(np.int64) >= NUMERATOR * n[1:].astype(np.int64))
+    keep = np.append(fits, False) | np.append(False, fits) if len(h) else np.zeros(0, bool)
+    h, doc, n = h[keep], doc[keep], n[keep]
     order = np.lexsort((n, doc))
     h, doc, n = h[order], doc[order], n[order]
     starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]))) if len(h) else np.zeros(0, int)
@@ -446,8 +452,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     # An id that stands for several sets has no sketch.
     several = full.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l"), F.min("sketch").alias("sketch"))
-    drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).select("doc", F.expr("if(k = l, sketch, null)").alias("sketch"))
-    lists = product.where("leader is null").select("block", "h", "doc", "n").join(written(drawn), "doc")
+    lists = product.where("leader is null").select("block", "h", "doc", "n")
+    # Partners share as many lists as a link needs, so a document in fewer has none.
+    need = F.least(F.lit(COMMON), F.ceil(F.min("n") * NUMERATOR / DENOMINATOR))
+    enough = lists.groupBy("doc").agg(F.sum(F.length("h") / 8).alias("held"), need.alias("need")).where("held >= need").select("doc")
+    drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).join(enough, "doc").select("doc", F.expr("if(k = l, sketch, null)").alias("sketch"))
+    lists = lists.join(written(drawn), "doc")
 
     def labelled(known: DataFrame):
         rows = lists.join(known, F.col("doc") == F.col("node"), "left")

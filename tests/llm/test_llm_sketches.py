@@ -96,6 +96,19 @@ def test_nearest_are_few_and_of_other_components():
     assert max(sum(a == d for a, _ in rows) for d in range(90)) <= jaccard.NEAREST
 
 
+def test_lists_without_a_partner_of_a_like_size_go():
+    sizes = {1: 100, 2: 134, 3: 75, 4: 300, 5: 301, 6: 100}
+    held = {7: [1, 2, 4], 8: [1, 3], 9: [4, 5, 2], 10: [6]}
+    rows = [(h, d) for h, docs in held.items() for d in docs]
+    packed = {"h": np.uint64, "doc": np.int64, "n": np.int32}
+    columns = {"h": [h for h, _ in rows], "doc": [d for _, d in rows], "n": [sizes[d] for _, d in rows]}
+    whole = pa.table({"block": pa.array([0], pa.int32()), **{c: pa.array([np.array(columns[c], t).tobytes()], pa.binary()) for c, t in packed.items()}})
+    got = jaccard.multiply_stars(whole).to_pylist()
+    lists = {r["doc"]: np.frombuffer(r["h"], np.uint64).tolist() for r in got if r["leader"] is None}
+    assert lists == {1: [8], 3: [8], 4: [9], 5: [9]}
+    assert {(r["doc"], r["leader"], r["common"]) for r in got if r["leader"] is not None} == {(3, 1, 1)}
+
+
 def test_empty_blocks():
     none = block([], [])
     assert jaccard.multiply_apart(none).num_rows == jaccard.multiply_near(none).num_rows == 0
