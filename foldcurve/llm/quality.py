@@ -6,7 +6,8 @@ shuffled: every document is judged alone, in the task that reads it.
 
 Null text counts as no words and no lines; an empty text has one empty line and no
 word. Both fail the base. Repeated rows and ids are judged alike and all stay.
-Other columns of the input pass through `measured` unless they bear one of its names.
+Other columns of the input are not read and do not come out. Very long texts are measured
+whole, by one task each.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Rule:
     high: float | None = None
 
 
-#: Clean prose of any language passes these; they reject what is no prose at all.
+#: Clean prose in English, French, German or Spanish passes these. Prose in other languages, all in capitals, or in a
+#: script without spaces fails the last rule or the third: give `compiled` a table without them for such texts.
 RULES = (
     Rule("n_words", low=50),
     Rule("repeat_ratio", high=0.5),
