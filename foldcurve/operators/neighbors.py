@@ -7,8 +7,10 @@ distance d lie between d - far and d - near of the row, so only cells that reach
 the bound are searched after that. Cells are searched in blocks of bounded size, each a
 small array computation that returns k rows per searched row. Nothing is left out: far
 data only means that more cells must be searched. Where features are many and
-unrelated, distances are nearly equal, no bound excludes a cell, and all pairs are
-compared, block by block; with a few features a row sees a small share of the cells.
+unrelated, distances are nearly equal and no bound excludes a cell. There a block first
+compares rows rounded to one byte a feature: what rounding moved a row bounds the error of
+its distances, and only pairs whose least distance is not above the k-th greatest one are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from pyspark.sql import types as T
 # The functions below travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Fewest pivots; more rows have more.
-PIVOTS = 32
+# Fewest and most pivots; in between, the square root of the rows. The most reach the driver and every task. Cells of
+# more rows are searched in more blocks.
+PIVOTS, PIVOTS_MOST = 32, 8192
 BLOCK = 2048
 # Relative slack on distance bounds, wider than the rounding of a sum.
 SLACK = 1e-9
+# Steps of a rounded feature, and slack on rounded distances, as a share of the greatest number times the features.
+STEPS, ROUNDING = 255, 1e-12
 SEED = 7
 
 
@@ -50,6 +55,64 @@ def manhattan(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def coarse(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Least and greatest distances between all rows of two blocks, from features rounded to whole steps.
+
+    One step serves all features. A distance differs from that of the rounded rows by what
+    rounding moved both rows at most. None where the range of a feature is no finite number.
+    """
+    low, high = np.minimum(left.min(0), right.min(0)), np.maximum(left.max(0), right.max(0))
+    with np.errstate(over="ignore"):
+        step = float((high - low).max(initial=0.0)) / STEPS or 1.0
+        most = float(np.maximum(np.abs(low), np.abs(high)).max(initial=0.0)) * max(left.shape[1], 1)
+    if not np.isfinite(step * STEPS * max(left.shape[1], 1)) or not np.isfinite(most):
+        return None
+    whole, moved = [], []
+    for rows in (left, right):
+        steps = np.rint((rows - low) / step)
+        whole.append(np.ascontiguousarray(steps.T.astype("int16")))
+        moved.append(np.abs(rows - low - steps * step).sum(1))
+    total = np.zeros((len(left), len(right)), "int16" if STEPS * left.shape[1] < 1 << 15 else "int32")
+    apart = np.empty(total.shape, "int16")
+    for a, b in zip(*whole):
+        np.subtract(a[:, None], b[None, :], out=apart)
+        np.abs(apart, out=apart)
+        total += apart
+    about = total * step
+    error = moved[0][:, None] + moved[1][None, :] + ROUNDING * most
+    return about - error, about + error
+
+
+def nearest_in_block(
+    asks: np.ndarray, points: np.ndarray, k: int, allowed: np.ndarray | None = None, bound: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ask, point, distance) of the k nearest points of each ask, nearest first, and the number of exact comparisons.
+
+    Equal distances are ordered by the place of the point. Only pairs in `allowed` count. Points beyond an ask's `bound`
+    may be left out. A distance that is no finite number has no pair.
+    """
+    able = np.ones((len(asks), len(points)), bool) if allowed is None else allowed.copy()
+    if able.any() and (limits := coarse(asks, points)) is not None:
+        least, greatest = limits
+        if k < len(points):
+            greatest[~able] = np.inf
+            able &= least <= np.partition(greatest, k - 1, axis=1)[:, k - 1, None]
+        if bound is not None:
+            able &= least <= (bound * (1 + SLACK))[:, None]
+    ask, point = np.nonzero(able)
+    distance = np.zeros(len(ask))
+    # The features are added in their order, as everywhere, so equal rows have equal distances in all blocks.
+    for j in range(asks.shape[1]):
+        distance += np.abs(asks[ask, j] - points[point, j])
+    compared = len(ask)
+    finite = np.isfinite(distance)
+    ask, point, distance = ask[finite], point[finite], distance[finite]
+    order = np.lexsort((point, distance, ask))
+    ask, point, distance = ask[order], point[order], distance[order]
+    rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
+    return ask[rank < k], point[rank < k], distance[rank < k], compared
+
+
 def _pivots(train: DataFrame, key: str, features: str, n: int) -> np.ndarray:
     """A few training rows in hash order of their key: at most n rows reach the driver."""
     rows = train.select(key, features).orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(n).collect()
@@ -73,7 +136,7 @@ def nearest_neighbors(
 
     Keys are unique on each side and features are finite numbers: ValueError, or a
     failed job, where they are not. `n_pivots` is by default the square root of the
-    training rows. `visited`, if given, receives the number of compared pairs.
+    training rows, PIVOTS_MOST at most. `visited`, if given, receives the number of compared pairs.
 
     With `part`, a row takes its neighbours from the rows of other parts only,
     which is out-of-fold search in one job. `features` is an ARRAY<DOUBLE>
@@ -88,7 +151,7 @@ def nearest_neighbors(
         twice = rows.groupBy("id").count().where("count > 1 or id is null").first()
         if twice is not None:
             raise ValueError(f"key {twice['id']} of the {side} rows is not unique")
-    n_pivots = max(PIVOTS, math.isqrt(known.count())) if n_pivots is None else n_pivots
+    n_pivots = min(max(PIVOTS, math.isqrt(known.count())), PIVOTS_MOST) if n_pivots is None else n_pivots
     pivots = _pivots(known, "id", "features", n_pivots)
     if not len(pivots):
         raise ValueError("no training rows")
@@ -141,10 +204,9 @@ def nearest_neighbors(
 
     placed = placed.withColumn("at", F.col("cell"))
     spread = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
-    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
 
-    def listed(counts: np.ndarray) -> F.Column:
-        return F.element_at(F.array(*[F.lit(int(n)) for n in counts]), F.col("at") + 1)
+    def each(blocks: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
     def searched(rows: DataFrame, reach: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
         """(id, neighbor, distance, label): k rows at most from each block of each cell that a row reaches."""
@@ -170,17 +232,14 @@ def nearest_neighbors(
         # Both sides of a cell are cut so that no block holds much more than `block` rows.
         query_blocks = np.maximum(1, -(-visits // block))
         routed = rows.mapInPandas(route, T.StructType([*rows.schema.fields, T.StructField("at", T.IntegerType())]))
-        asked = (
-            routed.withColumn("query_block", (spread % listed(query_blocks)).cast("int"))
-            .withColumn("copies", listed(train_blocks))
-            .withColumn("train_block", every)
-            .drop("copies")
+        # A few whole numbers per pivot.
+        cuts = zip(range(len(cells)), query_blocks.tolist(), train_blocks.tolist())
+        cut = F.broadcast(known.sparkSession.createDataFrame(list(cuts), "at int, query_blocks long, train_blocks long"))
+        asked = routed.join(cut, "at").select(
+            "at", *rows.columns, (spread % F.col("query_blocks")).alias("query_block"), each("train_blocks").alias("train_block")
         )
-        held = (
-            placed.withColumn("train_block", (spread % listed(train_blocks)).cast("int"))
-            .withColumn("copies", listed(query_blocks))
-            .withColumn("query_block", every)
-            .drop("copies", "cell", "away")
+        held = placed.join(cut, "at").select(
+            "at", *known.columns, (spread % F.col("train_blocks")).alias("train_block"), each("query_blocks").alias("query_block")
         )
         block_key = ["at", "train_block", "query_block"]
         return (
@@ -192,27 +251,15 @@ def nearest_neighbors(
     def search(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         outputs = []
         if len(asks) and len(rows):
+            # In key order, so that ties come out by key.
             rows = rows.sort_values("id")
             points, ids, labels, parts = _matrix(rows["features"]), rows["id"].to_numpy(), rows["label"].to_numpy(), rows["part"].to_numpy()
             for start in range(0, len(asks), 256):
                 some = asks.iloc[start : start + 256]
-                distance = manhattan(_matrix(some["features"]), points)
-                if part:
-                    distance[some["part"].to_numpy()[:, None] == parts[None, :]] = np.inf
-                # Stable sort: rows are in key order, so ties come out by key.
-                top = distance.argsort(axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(distance, top, axis=1)
-                row, col = np.nonzero(np.isfinite(d))
-                outputs.append(
-                    pd.DataFrame(
-                        {
-                            "id": some["id"].to_numpy()[row],
-                            "neighbor": ids[top[row, col]],
-                            "distance": d[row, col],
-                            "label": labels[top[row, col]],
-                        }
-                    )
-                )
+                allowed = some["part"].to_numpy()[:, None] != parts[None, :] if part else None
+                bound = some["bound"].fillna(np.inf).to_numpy(dtype="float64") if "bound" in some else None
+                row, col, d, _ = nearest_in_block(_matrix(some["features"]), points, k, allowed, bound)
+                outputs.append(pd.DataFrame({"id": some["id"].to_numpy()[row], "neighbor": ids[col], "distance": d, "label": labels[col]}))
         if not outputs:
             return pd.DataFrame({"id": [], "neighbor": [], "distance": [], "label": []})
         return pd.concat(outputs, ignore_index=True)

@@ -63,6 +63,47 @@ def test_neighbors_equal_brute_force(spark, pivots, block, apart):
         assert [m[1] for m in mine] == pytest.approx([d for d, _ in near])
 
 
+@pytest.mark.parametrize("features", [1, 2, 64, 200])
+def test_rounded_filter_equals_brute_force(features):
+    """Also with ties, constant features, features of very different size, and excluded pairs."""
+    rng = np.random.default_rng(features)
+    scale = 10.0 ** rng.integers(-6, 7, features)
+    points = np.round(rng.normal(size=(300, features)), 1) * scale + scale
+    points[:, 0] = 4.0
+    points[100:200] = points[:100]
+    asks = np.concatenate([points[::7], rng.normal(size=(20, features)) * scale])
+    allowed = rng.random((len(asks), len(points))) < 0.8
+    allowed[3] = False
+    allowed[4, 2:] = False
+    for k in (1, 5, 299, 300, 400):
+        exact = np.where(allowed, neighbors.manhattan(asks, points), np.inf)
+        want = exact.argsort(axis=1, kind="stable")[:, :k]
+        bound = np.sort(exact, axis=1)[:, min(k, 300) - 1]
+        for limit in (None, bound):
+            ask, point, distance, _ = neighbors.nearest_in_block(asks, points, k, allowed, limit)
+            for i in range(len(asks)):
+                mine = [j for j in want[i] if np.isfinite(exact[i, j])]
+                assert point[ask == i].tolist() == mine
+                assert distance[ask == i].tolist() == exact[i, mine].tolist()
+
+
+def test_rounded_filter_leaves_few_exact_comparisons():
+    """Unrelated features, where no pivot excludes anything."""
+    rng = np.random.default_rng(5)
+    asks, points = rng.normal(size=(200, 64)), rng.normal(size=(2048, 64))
+    assert neighbors.nearest_in_block(asks, points, 5)[3] < 0.05 * 200 * 2048
+
+
+def test_filter_of_extreme_numbers():
+    """Where no range is a finite number, all pairs are compared; a distance that is none has no pair."""
+    points = np.array([[1e308, 0.0], [-1e308, 0.0], [1e308, 1e308], [0.0, 1.0]])
+    ask, point, distance, compared = neighbors.nearest_in_block(points, points, 2)
+    assert compared == 16 and point[ask == 3].tolist()[0] == 3 and np.isfinite(distance).all()
+    empty = np.empty((0, 2))
+    assert all(len(x) == 0 for x in neighbors.nearest_in_block(points, empty, 2)[:3])
+    assert all(len(x) == 0 for x in neighbors.nearest_in_block(empty, points, 2)[:3])
+
+
 def test_few_training_rows_are_all_found(spark):
     df = spark.createDataFrame([(i, i % 2, [float(i)], 1) for i in range(4)], "row_id long, part int, features array<double>, y int")
     assert neighbors.nearest_neighbors(df, df, 9, part="part").count() == 8
