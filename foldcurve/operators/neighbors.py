@@ -10,7 +10,8 @@ data only means that more cells must be searched. Where features are many and
 unrelated, distances are nearly equal and no bound excludes a cell. There a block first
 compares rows rounded to one byte a feature: what rounding moved a row bounds the error of
 its distances, and only pairs whose least distance is not above the k-th greatest one are
-compared exactly.
+compared exactly. Where rows reach most cells, cells of few rows are searched together, so that
+a row travels once per block and not once per cell.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BLOCK = 2048
 SLACK = 1e-9
 # Steps of a rounded feature, and slack on rounded distances, as a share of the greatest number times the features.
 STEPS, ROUNDING = 255, 1e-12
+# Cells are searched together where rows reach more than this share of them.
+CROWDED = 0.25
 SEED = 7
 
 
@@ -180,7 +183,6 @@ def nearest_neighbors(
         near[c], far[c] = min(near[c], lo), max(far[c], hi)
     centers = pivots
     totals = sizes.sum(axis=1)
-    train_blocks = np.maximum(1, -(-totals // block))
 
     def usable(rows: pd.DataFrame) -> np.ndarray:
         """Training rows of each cell that each row may have as neighbours."""
@@ -202,43 +204,54 @@ def nearest_neighbors(
         gap = np.maximum(np.maximum(away - far, near - away), 0.0)
         return (gap * (1 - SLACK) <= bound[:, None]) & (usable(rows) > 0) & ~own(rows)
 
-    placed = placed.withColumn("at", F.col("cell"))
     spread = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
 
     def each(blocks: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
-    def searched(rows: DataFrame, reach: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-        """(id, neighbor, distance, label): k rows at most from each block of each cell that a row reaches."""
+    def tally(rows: DataFrame, reach: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+        """How many rows reach each cell."""
 
         def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in batches:
                 if len(some):
                     yield pd.DataFrame({"at": np.arange(len(cells), dtype="int32"), "n": reach(some).sum(axis=0).astype("int64")})
 
+        out = np.zeros(len(cells), dtype="int64")
+        for at, n in rows.mapInPandas(count_visits, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+            out[at] = n
+        return out
+
+    def searched(rows: DataFrame, reach: Callable[[pd.DataFrame], np.ndarray], visits: np.ndarray, starts: np.ndarray) -> DataFrame:
+        """(id, neighbor, distance, label): k rows at most from each block of each group of cells that a row reaches.
+
+        Groups are runs of cells, by their first; `visits` are the rows that reach each at most.
+        """
+
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in batches:
                 if len(some):
-                    row, at = np.nonzero(reach(some))
+                    row, at = np.nonzero(np.logical_or.reduceat(reach(some), starts, axis=1))
                     out = some.iloc[row].reset_index(drop=True)
                     out["at"] = at.astype("int32")
                     yield out
 
-        visits = np.zeros(len(cells), dtype="int64")
-        for at, n in rows.mapInPandas(count_visits, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
-            visits[at] = n
+        held_rows = np.add.reduceat(totals, starts)
         if visited is not None:
-            visited["pairs"] = visited.get("pairs", 0) + int(visits @ totals)
-        # Both sides of a cell are cut so that no block holds much more than `block` rows.
-        query_blocks = np.maximum(1, -(-visits // block))
+            visited["pairs"] = visited.get("pairs", 0) + int(visits @ held_rows)
+        # Both sides of a group are cut so that no block holds much more than `block` rows.
+        train_blocks, query_blocks = np.maximum(1, -(-held_rows // block)), np.maximum(1, -(-visits // block))
         routed = rows.mapInPandas(route, T.StructType([*rows.schema.fields, T.StructField("at", T.IntegerType())]))
         # A few whole numbers per pivot.
-        cuts = zip(range(len(cells)), query_blocks.tolist(), train_blocks.tolist())
-        cut = F.broadcast(known.sparkSession.createDataFrame(list(cuts), "at int, query_blocks long, train_blocks long"))
+        spark = known.sparkSession
+        cuts = zip(range(len(starts)), query_blocks.tolist(), train_blocks.tolist())
+        cut = F.broadcast(spark.createDataFrame(list(cuts), "at int, query_blocks long, train_blocks long"))
+        of_cell = (np.searchsorted(starts, cells, side="right") - 1).tolist()
+        group = F.broadcast(spark.createDataFrame(list(zip(cells.tolist(), of_cell)), "cell int, at int"))
         asked = routed.join(cut, "at").select(
             "at", *rows.columns, (spread % F.col("query_blocks")).alias("query_block"), each("train_blocks").alias("train_block")
         )
-        held = placed.join(cut, "at").select(
+        held = placed.join(group, "cell").join(cut, "at").select(
             "at", *known.columns, (spread % F.col("train_blocks")).alias("train_block"), each("query_blocks").alias("query_block")
         )
         block_key = ["at", "train_block", "query_block"]
@@ -264,10 +277,19 @@ def nearest_neighbors(
             return pd.DataFrame({"id": [], "neighbor": [], "distance": [], "label": []})
         return pd.concat(outputs, ignore_index=True)
 
-    first = searched(found, own).persist(StorageLevel.MEMORY_AND_DISK)
+    at_home = tally(found, own)
+    first = searched(found, own, at_home, cells).persist(StorageLevel.MEMORY_AND_DISK)
     order = Window.partitionBy("id").orderBy("distance", "neighbor")
     bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("id", F.col("distance").alias("bound"))
-    near_rows = first.unionByName(searched(found.join(bounds, "id", "left"), others))
+    bounded = found.join(bounds, "id", "left")
+    abroad = tally(bounded, others)
+    if abroad.sum() > CROWDED * at_home.sum() * len(cells):
+        # Runs of cells that hold about a block of rows, the own cells once more among them.
+        starts = np.flatnonzero(np.diff((totals.cumsum() - totals) // block, prepend=-1))
+        visits = np.minimum(np.add.reduceat(at_home + abroad, starts), at_home.sum())
+        near_rows = searched(bounded, lambda rows: others(rows) | own(rows), visits, starts)
+    else:
+        near_rows = first.unionByName(searched(bounded, others, abroad, cells))
     # k rows per searched block reach this window, and Spark drops ranks beyond k before the shuffle.
     closest = Window.partitionBy("id").orderBy("distance", "neighbor")
     return (

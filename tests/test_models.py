@@ -48,8 +48,12 @@ def brute_neighbors(data, k, apart):
     return out
 
 
-@pytest.mark.parametrize("pivots, block, apart", [(1, 1000, True), (9, 16, True), (9, 16, False), (500, 7, True)])
-def test_neighbors_equal_brute_force(spark, pivots, block, apart):
+@pytest.mark.parametrize(
+    "pivots, block, apart, crowded", [(1, 1000, True, 0.25), (9, 16, True, 2.0), (9, 16, False, -1.0), (9, 40, True, -1.0), (500, 7, True, 2.0)]
+)
+def test_neighbors_equal_brute_force(spark, monkeypatch, pivots, block, apart, crowded):
+    """With cells searched one by one (a share above 1) and together (below 0)."""
+    monkeypatch.setattr(neighbors, "CROWDED", crowded)
     random.seed(pivots)
     # Half of the rows are copies of a few points: crowded cells and many ties.
     data = [(i, i % 4, [float(i % 3), 1.0] if i % 2 else [random.gauss(0, 5), random.gauss(0, 5)], i % 5 % 2) for i in range(150)]
