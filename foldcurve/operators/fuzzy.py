@@ -223,23 +223,39 @@ def fuzzify(
     return complete_rows(df, columns).select(*keep, *out)
 
 
-def one_hot_sparse(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """(key, column, index): for each complete row and column the 0-based place of its category, by text order.
+def _values(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """(more, column, value): the complete rows in long form, values as text."""
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return complete_rows(df, columns).select(*more, F.inline(named))
 
-    The long form of one-hot, for any number of categories: they are numbered and
-    joined, never listed.
-    """
-    long = complete_rows(df, columns).select(
-        F.col(f"`{key}`").alias(key),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])),
-    )
+
+def category_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, index): the categories of each column, numbered from 0 in text order without being listed."""
     # Sorting by range keeps every task to its share; places are offsets of the ranges plus places inside them.
-    values = long.select("column", "value").distinct().repartitionByRange("column", "value")
+    values = _values(df, columns).distinct().repartitionByRange("column", "value")
     placed = values.sortWithinPartitions("column", "value").select("column", "value", F.spark_partition_id().alias("__task"))
     inside = F.row_number().over(Window.partitionBy("__task", "column").orderBy("value"))
     ranked = placed.withColumn("__inside", inside)
     sizes = ranked.groupBy("__task", "column").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("column").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__task", "column", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    index = ranked.join(starts, ["__task", "column"]).select("column", "value", (F.col("__start") + F.col("__inside") - 1).alias("index"))
-    return long.join(index, ["column", "value"]).select(key, "column", "index")
+    return ranked.join(starts, ["__task", "column"]).select("column", "value", (F.col("__start") + F.col("__inside") - 1).alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, column, index): for each complete row and column the 0-based place of its category, by text order.
+
+    The long form of one-hot, for any number of categories: they are numbered and
+    joined, never listed.
+    """
+    long = _values(df, columns, F.col(f"`{key}`").alias(key))
+    return long.join(category_numbers(df, columns), ["column", "value"]).select(key, "column", "index")
+
+
+def fuzzy_label(df: DataFrame, label: str = "y", keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """(keep, {label}-0, {label}-1): the label as memberships of its two classes. ValueError where it is not 0 and 1."""
+    rows = complete_rows(df, [label])
+    if rows.where(~F.col(f"`{label}`").isin(0, 1)).limit(1).count():
+        raise ValueError(f"label {label} has values other than 0 and 1")
+    value = F.col(f"`{label}`")
+    return rows.select(*keep, *[(value == k).cast("double").alias(f"{label}-{k}") for k in (0, 1)])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldcurve.operators import align, folds, fuzzy, importance, neighbors, ranking, roc, scale, symbolic
+from foldcurve.operators import align, folds, fuzzy, importance, neighbors, ranking, roc, scale, sparse, symbolic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -966,6 +966,33 @@ def one_hot_sparse(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy.one_hot_sparse(table(spark, folder, "customer").selectExpr("c_custkey as row_id", "c_name"), ["c_name"], "row_id")
 
 
+SQL_ORDER_VALUES = """
+with r as (select case when o_orderstatus = 'F' then 1 else 0 end as y, unnest(['o_custkey', 'o_orderpriority']) as "column", unnest([cast(o_custkey as varchar), cast(o_orderpriority as varchar)]) as value from orders),
+"""
+
+
+@query(
+    "sparse_categories",
+    SQL_ORDER_VALUES
+    + """g as (select "column", value, count(*) as n_rows, cast(sum(y) as bigint) as n_ones from r group by all)
+select "column", value, cast(row_number() over (order by "column", value) - 1 as integer) as index, n_rows, n_ones, cast(count(*) over () as integer) as size from g""",
+)
+def sparse_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories of customers and priorities as sparse vectors, counted by class from the vectors and named by the dictionary."""
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey as row_id", "o_custkey", "o_orderpriority", "int(o_orderstatus = 'F') as y")
+    columns = ["o_custkey", "o_orderpriority"]
+    dictionary = sparse.category_dictionary(rows, columns)
+    vectors = sparse.sparse_features(rows, columns, dictionary, keep=["y"])
+    counted = vectors.select("y", F.explode(sparse.active("features")).alias("index")).groupBy("index")
+    return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_ones")).join(dictionary, "index")
+
+
+@query("fuzzy_label", "select o_orderkey as row_id, case when o_orderstatus = 'F' then 0.0::double else 1.0::double end as \"y-0\", case when o_orderstatus = 'F' then 1.0::double else 0.0::double end as \"y-1\" from orders")
+def fuzzy_label(spark: SparkSession, folder: str) -> DataFrame:
+    """The label of every order as memberships of its two classes."""
+    return fuzzy.fuzzy_label(table(spark, folder, "orders").selectExpr("o_orderkey as row_id", "int(o_orderstatus = 'F') as y"))
+
+
 
 # What a column means to a score -------------------------------------------
 
