@@ -71,7 +71,7 @@ def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, categories): the sorted distinct values of each column over all complete rows, as text and number.
 
     Values are made distinct before they are gathered. One row holds the values of
-    a column: for columns with very many, `one_hot_sparse` numbers them by a join.
+    a column: for columns with very many, `category_numbers` numbers them without a list.
     """
     long = complete_rows(df, columns).select(
         F.inline(
