@@ -67,6 +67,26 @@ def test_neighbors_equal_brute_force(spark, monkeypatch, pivots, block, apart, c
         assert [m[1] for m in mine] == pytest.approx([d for d, _ in near])
 
 
+def test_neighbor_tasks_hold_few_pairs_at_once(spark, monkeypatch):
+    """Rows of a batch are placed, counted and routed a few at a time, whatever the number of cells."""
+    whole, most = neighbors.manhattan, 64 * 8
+
+    def checked(left, right):
+        if len(left) * len(right) > most:
+            raise ValueError("too many pairs at once")
+        return whole(left, right)
+
+    monkeypatch.setattr(neighbors, "PAIRS", most, raising=False)
+    monkeypatch.setattr(neighbors, "NUMBERS", 6, raising=False)
+    monkeypatch.setattr(neighbors, "manhattan", checked)
+    random.seed(5)
+    data = [(i, i % 4, [random.gauss(0, 5), random.gauss(0, 5)], i % 2) for i in range(150)]
+    df = spark.createDataFrame(data, "row_id long, part int, features array<double>, y int")
+    found = neighbors.nearest_neighbors(df, df, 4, part="part", n_pivots=64).collect()
+    want = brute_neighbors(data, 4, True)
+    assert all([r.neighbor for r in sorted(found, key=lambda r: r["rank"]) if r.row_id == i] == [j for _, j in near] for i, near in want.items())
+
+
 @pytest.mark.parametrize("features", [1, 2, 64, 200])
 def test_rounded_filter_equals_brute_force(features):
     """Also with ties, constant features, features of very different size, and excluded pairs."""
