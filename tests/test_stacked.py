@@ -185,6 +185,17 @@ def test_zero_distance_decides_alone_in_a_stack():
     assert p[0].tolist() == [0.5, 0.5] and p[1].tolist() == [pytest.approx(1 / 1.5)] * 2
 
 
+def test_nearest_are_the_first_of_a_stable_sort():
+    from foldcurve.plans.stacked_neighbors import nearest
+
+    rng = np.random.default_rng(2)
+    for shape, k, levels in [((40, 90), 13, 5), ((40, 90), 13, 10**6), ((5, 7), 7, 3), ((5, 7), 9, 3), ((4, 1), 1, 2), ((0, 9), 3, 2)]:
+        distance = rng.integers(0, levels, shape).astype(float)
+        distance[rng.random(shape) < 0.1] = np.inf
+        distance[:1, :-1] = np.nan
+        assert (nearest(distance, k) == distance.argsort(axis=1, kind="stable")[:, :k]).all()
+
+
 # --- expressions
 
 
