@@ -196,6 +196,25 @@ def test_nearest_are_the_first_of_a_stable_sort():
         assert (nearest(distance, k) == distance.argsort(axis=1, kind="stable")[:, :k]).all()
 
 
+def test_stacked_rows_lie_in_tasks_for_all_cores(spark):
+    """Small rows reach few tasks after a join; passes over them should use all cores."""
+    data = spark.range(5000).selectExpr("id as row_id", "int(id % 3) as part", "int(id % 2) as y", "double(id % 7) as a")
+    table, _ = stacked.stack(data.coalesce(1), ["a"], n_outer=3, n_inner=2)
+    held = table.rows.select("row_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in held}) >= 4 and sorted(r.row_id for r in held) == list(range(5000))
+
+
+def test_leaves_are_counted_in_one_pass(table):
+    kinds = [stacked_trees.Kind(Fold(o), k) for o in range(3) for k in stacked_trees.IMPURITIES]
+    trees = stacked_trees.grow(table, kinds, 4)
+    first = next(n for n, f in enumerate(trees[1].feature) if f < 0)
+    trees[1].counts[first] = (trees[1].counts[first][0] + 1, trees[1].counts[first][1])
+    for r in stacked_trees.leaf_matches(table, trees).collect():
+        data = [(row.x, row.y) for row in table.rows.collect() if row.place[trees[r.tree].kind.fold.outer] >= 0]
+        assert r.same == ((r.tree, r.leaf) != (1, first)) and r.n == sum(trees[r.tree].counts[r.leaf]) - ((r.tree, r.leaf) == (1, first))
+        assert sum(x.n for x in stacked_trees.leaf_matches(table, [trees[r.tree]]).collect()) == len(data) if r.leaf == first else True
+
+
 # --- expressions
 
 
