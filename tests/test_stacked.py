@@ -309,3 +309,24 @@ def connection():
 def test_registered_query_equals_its_sql(spark, connection, name):
     result = compare.compare(spark, connection, SF, name)
     assert result.startswith("same"), result
+
+
+def test_memberships_of_all_parts_are_one_stack(rows, monkeypatch):
+    """The same scores as a stack of each fold gives, from one table that all folds read."""
+    made, plain = [], stacked.stack
+
+    def counted_stack(*args, **how):
+        made.append(1)
+        return plain(*args, **how)
+
+    monkeypatch.setattr(stacked, "stack", counted_stack)
+    spec, how = MODELS["DT"].with_grid(depth=[3], impurity=["gini"]), {"search": False, "n_sets": 3, "select": [11]}
+    got = evaluate(rows, spec, COLUMNS, n_outer=3, **how)
+    assert len(made) == 1
+    roles = rows.select(F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("fold_id"), "row_id", "part").selectExpr("fold_id", "row_id", "if(part = fold_id, 'test', 'train') as role")
+    want = evaluate(rows.drop("part"), spec, COLUMNS, folds=roles, parallelism=3, **how)
+    assert len(made) == 4
+    by = [{(r.fold_id, r.row_id): r for r in e.predictions.collect()} for e in (got, want)]
+    assert by[0].keys() == by[1].keys()
+    assert all(r.yhat == by[1][k].yhat and r.p == pytest.approx(by[1][k].p, abs=1e-9) for k, r in by[0].items())
+    assert [(f.fold_id, f.names, f.params) for f in got.fits] == [(f.fold_id, f.names, f.params) for f in want.fits]
