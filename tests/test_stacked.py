@@ -330,3 +330,30 @@ def test_memberships_of_all_parts_are_one_stack(rows, monkeypatch):
     assert by[0].keys() == by[1].keys()
     assert all(r.yhat == by[1][k].yhat and r.p == pytest.approx(by[1][k].p, abs=1e-9) for k, r in by[0].items())
     assert [(f.fold_id, f.names, f.params) for f in got.fits] == [(f.fold_id, f.names, f.params) for f in want.fits]
+
+
+@pytest.mark.parametrize("range_rows", [1 << 20, 40])
+def test_areas_of_packed_values_are_those_of_all_pairs(spark, range_rows):
+    """Ties, both zeros, infinities and NaN (above all numbers); a task sends two lists for an expression, not a row for each value."""
+    special = [0.0, -0.0, math.inf, -math.inf, math.nan, 1e-310, -2.5]
+    data = [(i % 2 if i % 7 else 1, [special[i % 7] if i % 3 == 0 else math.sin(i), float(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(data, "y int, x array<double>").repartition(3)
+    own = forest.Forest(["a", "b"])
+    roots = [own.add(t) for t in ("a", "b", ("add", "a", "b"), ("div", "b", "a"), 1.0)]
+
+    def rows_of(batch, group):
+        return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column("y").to_numpy(zero_copy_only=False)
+
+    plans = {0: (own.needed(roots), roots)}
+    got = forest.areas(df, plans, rows_of, lambda g: (g,), ("search",), "y", range_rows)
+    x, y = np.array([r[1] for r in data]), np.array([r[0] for r in data])
+    values = plans[0][0].values(x, roots)
+    for c, root in enumerate(roots):
+        rank = [(math.isnan(v), 0.0 if math.isnan(v) else v) for v in values[:, c]]
+        pos, neg = [r for r, l in zip(rank, y) if l], [r for r, l in zip(rank, y) if not l]
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        assert got[(0, root)] == pytest.approx(want, abs=1e-12)
+    lists = forest.value_lists(df, plans, rows_of, ("search",), lambda g: (g,), "y", {0: np.empty((len(roots), 0), np.uint64)})
+    assert lists.count() <= 2 * 3 * len(roots)
+    one = forest.areas(df.where("y = 1"), plans, rows_of, lambda g: (g,), ("search",), "y")
+    assert all(area is None for area in one.values())
