@@ -21,6 +21,11 @@ pass the bounds, so a group of near copies is never expanded into its pairs, and
 between components is lost. Every reported link comes from the exact sizes of intersection
 and union.
 
+Lists of few documents are worked off where they are: each makes all its pairs, whose number is
+bounded by that of its entries. Only longer lists, few of a corpus, go on to the sketches of their
+documents, so a document's sketch travels to the blocks of its long lists alone. The overlap of a
+pair is that in its short lists and that in its long ones.
+
 A sketch is the parity of a set's shingles by some bits of their hashes. The bits in which
 two sketches differ are at most the shingles in one set alone, and sets link only if those
 are at most a seventh of both sizes: a pair beyond that leaves the product for sure. Without
@@ -60,6 +65,8 @@ COUNTED_BITS = 40
 BLOCKS_PER_PARTITION = 2
 #: Sketches have the power of two of bits from twice the set's size on, within these.
 SKETCH_LEAST, SKETCH_MOST = 128, 4096
+#: Lists of at most so many documents make all their pairs; longer ones go by sketches.
+SHORT_LIST = 16
 #: The second round looks at so many documents of the next sizes in a list, and keeps so many of the nearest. The
 #: third round makes up for what these leave out, so they change the speed alone.
 WINDOW, NEAREST = 128, 4
@@ -297,6 +304,47 @@ def multiply_stars(table: pa.Table) -> pa.Table:
     return pa.concat_tables([lists, stars])
 
 
+PRODUCT = "block int, h binary, doc long, n long, leader long, common long, other long, need long"
+
+
+def multiply_short(table: pa.Table) -> pa.Table:
+    """Of one column block: overlap counts with each list's smallest id, overlap counts of all pairs in short lists
+    (doc, other, need, common), and the long lists, a row per document."""
+    both = multiply_stars(table)
+    names = [c.split()[0] for c in PRODUCT.split(", ")]
+    lists, stars = both.filter(pc.is_null(both["leader"])), both.filter(pc.is_valid(both["leader"]))
+    packed = lists["h"].to_pylist()
+    h = np.frombuffer(b"".join(packed), np.uint64)
+    row = np.repeat(np.arange(lists.num_rows), [len(x) // 8 for x in packed])
+    doc, n = lists["doc"].to_numpy(), lists["n"].to_numpy()
+    order = np.lexsort((n[row], h))
+    h, row = h[order], row[order]
+    starts, ends = runs(h)
+    few = np.repeat(ends - starts <= SHORT_LIST, ends - starts)
+    short_h, short = h[few], row[few]
+    codes, wide = [np.zeros(0, np.int64)], lists.num_rows
+    for step in range(1, min(SHORT_LIST, len(short))):
+        small, large = short[:-step], short[step:]
+        pair = (short_h[:-step] == short_h[step:]) & (DENOMINATOR * n[small] >= NUMERATOR * n[large]) & (doc[small] != doc[large])
+        codes.append(small[pair] * wide + large[pair])
+    code, common = np.unique(np.concatenate(codes), return_counts=True)
+    small, large = code // max(wide, 1), code % max(wide, 1)
+    need = np.minimum(COMMON, least_overlap(n[small]))
+    a, b, m = np.minimum(doc[small], doc[large]), np.maximum(doc[small], doc[large]), len(code)
+    pairs = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(a), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(common.astype(np.int64)), pa.array(b), pa.array(need)]
+    h, row = h[~few], row[~few]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    starts, ends = runs(row)
+    long_lists = lists.take(pa.array(row[starts]))
+    long_lists = long_lists.set_column(1, "h", pa.array([h[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()))
+
+    def widened(some: pa.Table) -> pa.Table:
+        return some.append_column("other", pa.nulls(some.num_rows, pa.int64())).append_column("need", pa.nulls(some.num_rows, pa.int64()))
+
+    return pa.concat_tables([widened(long_lists), widened(stars), pa.Table.from_arrays(pairs, names)])
+
+
 class Sketches:
     """The sketches of a block's documents by level (their bits as a power of two)."""
 
@@ -393,6 +441,22 @@ def multiply_apart(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keyed[:, i].astype(np.int64)) for i in range(3)] + [pa.array(common)], ["a", "b", "need", "common"])
 
 
+def allowed(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the sizes and sketches of both (n, sketch; other_n, other_sketch) allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "other_n")])
+            sketches = Sketches(batch.column("sketch").to_pylist() + batch.column("other_sketch").to_pylist())
+            first = np.arange(m)
+            small, large = np.where(n[:m] <= n[m:], first, first + m), np.where(n[:m] <= n[m:], first + m, first)
+            may = (DENOMINATOR - NUMERATOR) * (n[small] + n[large]) >= (DENOMINATOR + NUMERATOR) * sketches.apart(small, large)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return pairs.select("a", "b", "n", "sketch", "other_n", "other_sketch").mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets link by their exact sizes. Texts are moved only for documents in a pair.
 
@@ -443,7 +507,7 @@ def join(docs: DataFrame) -> DataFrame:
     same = written(full.join(written(same), "key").select("a", F.col("doc_id").alias("b"), "n").distinct())
     # Only representatives take part in pairs.
     chosen = written(same.where("a = b").select(F.col("a").alias("doc")))
-    product = written(postings(docs, frequent, blocks).groupBy("block").applyInArrow(multiply_stars, "block int, h binary, doc long, n long, leader long, common long"))
+    product = written(postings(docs, frequent, blocks).groupBy("block").applyInArrow(multiply_short, PRODUCT))
     stars = product.where("leader is not null").groupBy("doc", "leader").agg(F.sum("common").alias("common"))
     stars = stars.join(chosen, "doc").join(chosen.withColumnRenamed("doc", "leader"), "leader")
     best = stars.groupBy("doc").agg(F.max(F.struct("common", (-F.col("leader")).alias("l"))).alias("best"))
@@ -451,13 +515,17 @@ def join(docs: DataFrame) -> DataFrame:
     known = written(components(same.select("a", "b").unionByName(first)))
 
     # An id that stands for several sets has no sketch.
-    several = full.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l"), F.min("sketch").alias("sketch"))
-    lists = product.where("leader is null").select("block", "h", "doc", "n")
+    several = full.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).select("doc", "n", F.expr("if(k = l, sketch, null)").alias("sketch"))
+    drawn = written(drawn)
+    pairs = product.where("other is not null").groupBy(F.col("doc").alias("a"), F.col("other").alias("b"))
+    pairs = written(pairs.agg(F.sum("common").alias("common"), F.min("need").alias("need")))
+    lists = product.where("leader is null and other is null").select("block", "h", "doc", "n")
     # Partners share as many lists as a link needs, so a document in fewer has none.
-    need = F.least(F.lit(COMMON), F.ceil(F.min("n") * NUMERATOR / DENOMINATOR))
-    enough = lists.groupBy("doc").agg(F.sum(F.length("h") / 8).alias("held"), need.alias("need")).where("held >= need").select("doc")
-    drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).join(enough, "doc").select("doc", F.expr("if(k = l, sketch, null)").alias("sketch"))
-    lists = lists.join(written(drawn), "doc")
+    held = lists.groupBy("doc").agg(F.sum(F.length("h") / 8).alias("held"), F.least(F.lit(COMMON), F.ceil(F.min("n") * NUMERATOR / DENOMINATOR)).alias("need"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.col("common").alias("held")).groupBy("doc").agg(F.sum("held").alias("more"))
+    enough = held.join(ends, "doc", "left").where("held + coalesce(more, 0) >= need").select("doc")
+    lists = lists.join(written(drawn.drop("n").join(enough, "doc")), "doc")
 
     def labelled(known: DataFrame):
         rows = lists.join(known, F.col("doc") == F.col("node"), "left")
@@ -471,8 +539,12 @@ def join(docs: DataFrame) -> DataFrame:
     known = written(components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(middle)))
 
     apart = labelled(known).applyInArrow(multiply_apart, "a long, b long, need long, common long")
-    near = apart.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
-    second = written(verified(docs, written(near)))
+    label = known.select("node", "component")
+    short = pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    short = short.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "need", "common")
+    near = apart.unionByName(short).groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+    near = written(near).join(drawn.withColumnRenamed("doc", "a"), "a").join(drawn.select(F.col("doc").alias("b"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch")), "b")
+    second = written(verified(docs, written(allowed(near))))
     final = components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second))
     out = rows.join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
