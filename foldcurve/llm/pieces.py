@@ -33,13 +33,21 @@ MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 #: Most cut parts that a worker keeps, and the longest that it keeps.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
 CACHE_CHARS = 48
 #: Longer parts have a heap; others share a matrix, so many at a time.
 MATRIX_CHARS, MATRIX_ROWS = 48, 8192
 #: Characters of whole texts whose parts are looked up together.
 TEXTS_CHARS = 1 << 22
-NO_PAIR, ABSENT = np.iinfo(np.int32).max, np.int64(-(1 << 31))
+NO_PAIR, ABSENT = np.iinfo(np.int32).max, np.iinfo(np.int32).min
+
+
+def cut_parts(text: str) -> list[str]:
+    """The parts of a text, each without its first mark."""
+    marked = text.replace(" ", MARK)
+    if marked.startswith(MARK) or MARK + MARK in marked:
+        return [p[1:] for p in PARTS.findall(MARK + marked)]
+    return marked.split(MARK)
 
 
 class Pairs:
@@ -71,45 +79,56 @@ class Pairs:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NO_PAIR: none) and symbol of each pair; a negative symbol stands for none."""
-        key = (left << 32) | right
+        key = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.rank[at], NO_PAIR), np.where(hit, self.made[at], -1)
 
     def merge(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers of parts whose agenda is empty, and a row of symbols for each, ABSENT behind the last. Characters in no pair are -1 - code point."""
+        """Numbers of parts whose agenda is empty, and a row of symbols for each, ABSENT where none is. Characters in no pair are -1 - code point.
+
+        A symbol stays at the place of its first character; each knows the places of those before and after it, so a
+        merge touches a few places of a row.
+        """
         n, lengths = len(parts), np.array([len(p) for p in parts])
         width = int(lengths.max(initial=1))
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         different, back = np.unique(codes, return_inverse=True)
-        numbers = np.array([self.number.get(chr(c), -1 - int(c)) for c in different], np.int64)
-        symbols = np.full((n, width), ABSENT)
+        numbers = np.array([self.number.get(chr(c), -1 - int(c)) for c in different], np.int32)
+        symbols = np.full((n, width), ABSENT, np.int32)
         symbols[np.arange(width) < lengths[:, None]] = numbers[back]
-        ranks, made = self.lookup(symbols[:, :-1], symbols[:, 1:])
-        rows = np.arange(n)
-        while len(rows):
-            if symbols.shape[1] > 1:
-                best = ranks.argmin(axis=1)
-                own = np.arange(len(rows))
-                open_rows = ranks[own, best] < NO_PAIR
-            else:
-                open_rows = np.zeros(len(rows), bool)
-            if not open_rows.all():
-                yield rows[~open_rows], symbols[~open_rows]
-            if not open_rows.any():
-                break
-            rows, symbols, ranks, made, best = rows[open_rows], symbols[open_rows], ranks[open_rows], made[open_rows], best[open_rows]
-            own, last = np.arange(len(rows)), symbols.shape[1] - 1
+        # The pair of each symbol and the next; the last place has none.
+        ranks, made = np.full((n, width), NO_PAIR, np.int32), np.full((n, width), -1, np.int32)
+        at = np.flatnonzero((symbols[:, 1:] != ABSENT).reshape(-1))
+        row, place = at // max(width - 1, 1), at % max(width - 1, 1)
+        ranks[row, place], made[row, place] = self.lookup(symbols[row, place], symbols[row, place + 1])
+        after, before = (np.broadcast_to(np.arange(width, dtype=np.int32) + d, (n, width)).copy() for d in (1, -1))
+        rows, own = np.arange(n), np.arange(n)
+        done = np.zeros(n, bool)
+        while len(own):
+            best = ranks[own].argmin(axis=1) if len(own) < len(ranks) else ranks.argmin(axis=1)
+            going = ranks[own, best] < NO_PAIR
+            done[own[~going]] = True
+            own, best = own[going], best[going]
+            if 4 * len(own) <= 3 * len(rows):
+                # Finished rows leave when they are many.
+                yield rows[done], symbols[done]
+                kept = ~done
+                rows, symbols, ranks, made, after, before = (x[kept] for x in (rows, symbols, ranks, made, after, before))
+                own, done = np.arange(len(rows)), np.zeros(len(rows), bool)
+            gone, length = after[own, best], lengths[rows[own]]
+            further, earlier = after[own, gone], before[own, best]
             symbols[own, best] = made[own, best]
-            # The right symbol of the pair goes, and the pair with it.
-            places = np.arange(last)
-            symbols = np.take_along_axis(symbols, places + (places > best[:, None]), axis=1)
-            pairs = np.arange(last - 1)
-            keep = pairs + (pairs >= best[:, None])
-            ranks, made = np.take_along_axis(ranks, keep, axis=1), np.take_along_axis(made, keep, axis=1)
-            for side in (best - 1, best):
-                at = np.flatnonzero((side >= 0) & (side < last - 1))
-                ranks[at, side[at]], made[at, side[at]] = self.lookup(symbols[at, side[at]], symbols[at, side[at] + 1])
+            symbols[own, gone], ranks[own, gone] = ABSENT, NO_PAIR
+            ranks[own, best], after[own, best] = NO_PAIR, further
+            right, left = np.flatnonzero(further < length), np.flatnonzero(earlier >= 0)
+            before[own[right], further[right]] = best[right]
+            row = np.concatenate([own[right], own[left]])
+            first = np.concatenate([best[right], earlier[left]])
+            second = np.concatenate([further[right], best[left]])
+            ranks[row, first], made[row, first] = self.lookup(symbols[row, first], symbols[row, second])
+        if len(rows):
+            yield rows, symbols
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -142,9 +161,10 @@ class Encoder:
         # The id of each symbol that has one of its own; others have several, or are no symbol of a pair.
         self.one_id = np.array([self.ranks.get(x, (0, -1))[1] for x in self.pairs.symbols], np.int32)
         self.digits = [str(i) for i in range(size)]
-        # Packed ids of parts met since the cache was last full, and of those met before.
+        # Packed ids of parts, by the part without its first mark, and those too long to stay.
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.own_ids: dict[int, bytes] = {}
 
     def ids_of(self, symbol: str) -> tuple[int, ...]:
         rank = self.ranks.get(symbol)
@@ -192,12 +212,19 @@ class Encoder:
     def decoded(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
 
+    def ids_at(self, symbol: int) -> bytes:
+        """Packed ids of a numbered symbol, or of the character -1 - symbol."""
+        found = self.own_ids.get(symbol)
+        if found is None:
+            found = self.own_ids[symbol] = self.packed([self.pairs.symbols[symbol] if symbol >= 0 else chr(-1 - symbol)])
+        return found
+
     def packed(self, symbols: Iterable[str]) -> bytes:
         return np.array([i for s in symbols for i in self.ids_of(s)], np.int32).tobytes()
 
     def learn(self, parts: list[str]) -> dict[str, bytes]:
         """Packed ids of each part."""
-        out, names = {}, self.pairs.symbols
+        out = {}
         short = sorted((p for p in parts if len(p) <= MATRIX_CHARS), key=len)
         for at in range(0, len(short), MATRIX_ROWS):
             some = short[at : at + MATRIX_ROWS]
@@ -211,28 +238,28 @@ class Encoder:
                     out[some[row]] = data[start:end]
                     start = end
                 for i in np.flatnonzero(~plain):
-                    out[some[rows[i]]] = self.packed(names[x] if x >= 0 else chr(-1 - x) for x in symbols[i][there[i]].tolist())
+                    out[some[rows[i]]] = b"".join(map(self.ids_at, symbols[i][there[i]].tolist()))
         for part in parts:
             if len(part) > MATRIX_CHARS:
                 out[part] = self.packed(self.merge(part))
         return out
 
-    def found(self, parts: set[str]) -> dict[str, bytes]:
-        """Packed ids of `parts`; new ones are learned together and, where short, kept."""
-        cache, older = self.cache, self.older
-        out = {p: ids for p in parts if (ids := cache.get(p) or older.get(p))}
-        learned = self.learn([p for p in parts if p not in out])
-        out.update(learned)
-        if len(cache) + len(out) > CACHE_PARTS // 2:
-            self.older, self.cache = cache, {}
-        self.cache.update({p: ids for p, ids in out.items() if len(p) <= CACHE_CHARS})
-        return out
+    def found(self, keys: set[str]) -> dict[str, bytes]:
+        """Packed ids of the parts MARK + key, at least of `keys`; new ones are learned together and, where short, kept."""
+        for key in self.long:
+            self.cache.pop(key, None)
+        new = keys.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_PARTS:
+            self.cache = {key: self.cache[key] for key in keys - new}
+        self.cache.update((part[1:], ids) for part, ids in self.learn([MARK + key for key in new]).items())
+        self.long = [key for key in new if len(key) >= CACHE_CHARS]
+        return self.cache
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [PARTS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [cut_parts(t) if t else [] for t in texts]
         known = self.found(set().union(*cut))
-        return [np.frombuffer(b"".join([known[p] for p in parts]), np.int32) for parts in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, keys)), np.int32) for keys in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
