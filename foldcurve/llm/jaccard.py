@@ -72,6 +72,8 @@ SHORT_LIST = 16
 WINDOW, NEAREST = 128, 4
 #: Pairs of places in lists, and pairs of sketches, that a task holds at once.
 PAIRS_HELD, SKETCHES_HELD = 1 << 20, 1 << 16
+#: Bits that tell ids apart before their texts are moved: 8 MB for all tasks at most.
+ID_BITS = 1 << 26
 #: Documents compared with one leader in one group.
 LEADER_GROUP = 512
 
@@ -457,6 +459,20 @@ def allowed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n", "sketch", "other_n", "other_sketch").mapInArrow(run, "a long, b long")
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in `ids` (id), and few others: those that share a bit of a table of bounded size.
+
+    Texts that no pair asks for stay where they are, however many ids there are to join.
+    """
+    place = "bitmap_bit_position(pmod(xxhash64({0}), {1}L))"
+    bucket = "bitmap_bucket_number(pmod(xxhash64({0}), {1}L))"
+    asked = ids.selectExpr(f"{bucket.format('id', ID_BITS)} as bucket", f"{place.format('id', ID_BITS)} as place").repartition("bucket")
+    bits = asked.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    own = docs.selectExpr("*", f"{bucket.format('doc_id', ID_BITS)} as bucket", f"{place.format('doc_id', ID_BITS)} as place")
+    byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
+    return own.join(F.broadcast(bits), "bucket").where(f"shiftright({byte}, cast(place % 8 as int)) % 2 = 1").select(*docs.columns)
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets link by their exact sizes. Texts are moved only for documents in a pair.
 
@@ -467,7 +483,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     leaders = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
     wanted = written(dealt.select(F.col("b").alias("id"), "a", "part").unionByName(leaders))
-    texts = ids_and_texts(docs).join(wanted, F.col("doc_id") == F.col("id")).select("a", "part", "doc_id", "text")
+    texts = among(ids_and_texts(docs), wanted).join(wanted, F.col("doc_id") == F.col("id")).select("a", "part", "doc_id", "text")
 
     def run(table: pa.Table) -> pa.Table:
         a = table["a"][0].as_py()

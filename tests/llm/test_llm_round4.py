@@ -89,3 +89,11 @@ def test_merges_by_places_are_those_of_the_agenda():
     parts = list({pieces.MARK + "".join(draw.choice("abcdeinrstuzé你") for _ in range(draw.randrange(1, 40))) for _ in range(500)})
     found = own.learn(parts)
     assert all(found[p] == own.packed(own.merge(p)) for p in parts)
+
+
+def test_texts_that_no_pair_asks_for_stay(spark):
+    docs = table(spark, [(i * 31 - 5000, f"text {i}") for i in range(2000)]).select("doc_id", "text")
+    ids = spark.createDataFrame([(i * 31 - 5000,) for i in range(0, 2000, 40)] * 2, "id long")
+    got = [tuple(r) for r in jaccard.among(docs, ids).collect()]
+    assert {(i * 31 - 5000, f"text {i}") for i in range(0, 2000, 40)} <= set(got)
+    assert len(got) == len(set(got)) < 60
