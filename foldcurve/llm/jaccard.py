@@ -63,6 +63,8 @@ FREQUENT_KEPT, FREQUENT_LEAST = 1_000_000, 4
 #: Bits of a hash that counting tells apart inside a block.
 COUNTED_BITS = 40
 BLOCKS_PER_PARTITION = 2
+#: Shingles of a document that look for one to be compared with first.
+PROBES = 6
 #: Sketches have the power of two of bits from twice the set's size on, within these.
 SKETCH_LEAST, SKETCH_MOST = 128, 4096
 #: Lists of at most so many documents make all their pairs; longer ones go by sketches.
@@ -181,19 +183,22 @@ def sets(docs: DataFrame, blocks: int) -> DataFrame:
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
                 keys.append(key)
                 sketches.append(sketch(found) if len(found) else None)
-                if key is not None:
-                    distinct[key] = found
+                if key is not None and key not in distinct:
+                    distinct[key] = counted_key(found, blocks)
             blank = pa.nulls(len(n), pa.binary())
             # Document rows go along to any block.
             yield pa.RecordBatch.from_arrays([pa.array([i % blocks for i in range(len(n))], kinds[0]), batch.column(0), pa.array(n, kinds[1]), pa.array(keys, kinds[3]), pa.array(sketches, kinds[3]), blank, blank], names)
             if not distinct:
                 continue
-            key = counted_key(np.concatenate(list(distinct.values())), blocks)
+            # Sorted in place: the hashes of a batch are the most that a task holds.
+            every = np.concatenate(list(distinct.values()))
             distinct.clear()
-            key, count = np.unique(key, return_counts=True)
+            every.sort()
+            starts, ends = runs(every)
+            key, count = every[starts], np.minimum(ends - starts, 65535).astype("<u2")
+            del every
             block = (key >> np.uint64(COUNTED_BITS)).astype(np.int32)
-            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : COUNTED_BITS // 8]
-            count = np.minimum(count, 65535).astype("<u2")
+            low = key.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : COUNTED_BITS // 8]
             starts, ends = runs(block)
             packed = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (low, count)]
             none = pa.nulls(len(starts), pa.int64())
@@ -222,42 +227,50 @@ def sets(docs: DataFrame, blocks: int) -> DataFrame:
     return ids_and_texts(docs).mapInArrow(run, COUNTED).groupBy("block").applyInArrow(count_block, COUNTED.replace("block int, ", ""))
 
 
-def postings(docs: DataFrame, frequent, blocks: int) -> DataFrame:
-    """Rows of the matrix cut into column blocks: a row per batch and block with packed hashes, ids and sizes."""
+def prefixes(docs: DataFrame, frequent) -> DataFrame:
+    """A row per set: a document that has it, its size, and its first shingles in the common order, packed by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Of equal sets the representative, which has the smallest id, is needed: a batch keeps its smallest.
-            least: dict[bytes, tuple[int, np.ndarray]] = {}
+            least: dict[bytes, tuple[int, int, bytes]] = {}
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 doc_id = doc_id.as_py()
                 found = shingles(text.as_py())
                 if doc_id is None or not len(found):
                     continue
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if key not in least or doc_id < least[key][0]:
-                    least[key] = doc_id, found
-            firsts, ids, sizes = [], [], []
-            for doc_id, found in least.values():
-                first = prefix(found, frequent.value)
-                firsts.append(first)
-                ids.append(np.full(len(first), doc_id, np.int64))
-                sizes.append(np.full(len(first), len(found), np.int32))
-            if not firsts:
-                continue
-            h, doc, n = np.concatenate(firsts), np.concatenate(ids), np.concatenate(sizes)
-            block = block_of(h, blocks)
+                if key not in least:
+                    least[key] = doc_id, len(found), np.sort(prefix(found, frequent.value)).tobytes()
+                elif doc_id < least[key][0]:
+                    least[key] = doc_id, *least[key][1:]
+            doc, n, h = zip(*least.values()) if least else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["doc", "n", "h"])
+
+    return ids_and_texts(docs).mapInArrow(run, "doc long, n long, h binary")
+
+
+#: Columns of a block's packed entries, besides their hashes.
+ENTRY = {"doc": np.int64, "n": np.int32, "component": np.int64}
+
+
+def postings(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows of the matrix (doc, n, component, packed h) cut into column blocks: a row per batch and block with packed entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("h").to_pylist()
+            h = np.frombuffer(b"".join(packed), np.uint64)
+            row = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
+            block = block_of(h, blocks).astype(np.int32)
             order = np.argsort(block, kind="stable")
-            h, doc, n, block = h[order], doc[order], n[order], block[order]
-            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            ends = np.append(starts[1:], len(block))
-            columns = [
-                pa.array(block[starts].astype(np.int32)),
-                *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (h, doc, n)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "h", "doc", "n"])
+            h, row, block = h[order], row[order], block[order]
+            starts, ends = runs(block)
+            entries = [h, *(batch.column(c).to_numpy().astype(kind)[row] for c, kind in ENTRY.items())]
+            columns = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in entries]
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], ["block", "h", *ENTRY])
 
-    return ids_and_texts(docs).mapInArrow(run, "block int, h binary, doc binary, n binary")
+    return rows.select("h", *ENTRY).mapInArrow(run, "block int, h binary, doc binary, n binary, component binary")
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +278,9 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(values))
 
 
+STARS = "block int, h binary, doc long, n long, leader long, common long"
+
+
 def multiply_stars(table: pa.Table) -> pa.Table:
     """Of one column block: its lists, and overlap counts with each list's smallest id.
 
@@ -306,45 +322,56 @@ def multiply_stars(table: pa.Table) -> pa.Table:
     return pa.concat_tables([lists, stars])
 
 
+#: The columns of multiply_stars, and those of pairs.
 PRODUCT = "block int, h binary, doc long, n long, leader long, common long, other long, need long"
 
 
 def multiply_short(table: pa.Table) -> pa.Table:
-    """Of one column block: overlap counts with each list's smallest id, overlap counts of all pairs in short lists
-    (doc, other, need, common), and the long lists, a row per document."""
-    both = multiply_stars(table)
+    """Of one column block: overlap counts of all pairs of different components in short lists (doc, other, need,
+    common), and the long lists of several components, a row per document. Without components, each document is one."""
     names = [c.split()[0] for c in PRODUCT.split(", ")]
-    lists, stars = both.filter(pc.is_null(both["leader"])), both.filter(pc.is_valid(both["leader"]))
-    packed = lists["h"].to_pylist()
-    h = np.frombuffer(b"".join(packed), np.uint64)
-    row = np.repeat(np.arange(lists.num_rows), [len(x) // 8 for x in packed])
-    doc, n = lists["doc"].to_numpy(), lists["n"].to_numpy()
-    order = np.lexsort((n[row], h))
-    h, row = h[order], row[order]
+    h, doc, n = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("h", np.uint64), ("doc", np.int64), ("n", np.int32)))
+    component = np.frombuffer(b"".join(table["component"].to_pylist()), np.int64) if "component" in table.column_names else doc
+    order = np.lexsort((n, h))
+    h, doc, n, component = h[order], doc[order], n[order].astype(np.int64), component[order]
+    # By size, a partner of any size that fits means that the next one on some side fits.
+    fits = (h[1:] == h[:-1]) & (DENOMINATOR * n[:-1] >= NUMERATOR * n[1:])
+    keep = np.append(fits, False) | np.append(False, fits) if len(h) else np.zeros(0, bool)
+    h, doc, n, component = h[keep], doc[keep], n[keep], component[keep]
     starts, ends = runs(h)
+    if len(starts):
+        several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        keep = np.repeat(several, ends - starts)
+        h, doc, n, component = h[keep], doc[keep], n[keep], component[keep]
+        starts, ends = runs(h)
+    # The documents of the block by id and size, and the place of each entry among them.
+    order = np.lexsort((n, doc))
+    first = np.append(True, (doc[order][1:] != doc[order][:-1]) | (n[order][1:] != n[order][:-1]))[: len(order)]
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(first) - 1
+    doc, n, component = (x[order][first] for x in (doc, n, component))
     few = np.repeat(ends - starts <= SHORT_LIST, ends - starts)
     short_h, short = h[few], row[few]
-    codes, wide = [np.zeros(0, np.int64)], lists.num_rows
+    codes, wide = [np.zeros(0, np.int64)], len(doc)
     for step in range(1, min(SHORT_LIST, len(short))):
         small, large = short[:-step], short[step:]
-        pair = (short_h[:-step] == short_h[step:]) & (DENOMINATOR * n[small] >= NUMERATOR * n[large]) & (doc[small] != doc[large])
+        pair = (short_h[:-step] == short_h[step:]) & (DENOMINATOR * n[small] >= NUMERATOR * n[large]) & (component[small] != component[large])
         codes.append(small[pair] * wide + large[pair])
     code, common = np.unique(np.concatenate(codes), return_counts=True)
     small, large = code // max(wide, 1), code % max(wide, 1)
     need = np.minimum(COMMON, least_overlap(n[small]))
     a, b, m = np.minimum(doc[small], doc[large]), np.maximum(doc[small], doc[large]), len(code)
-    pairs = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(a), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(common.astype(np.int64)), pa.array(b), pa.array(need)]
+    none = pa.nulls(m, pa.int64())
+    pairs = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(a), none, none, pa.array(common.astype(np.int64)), pa.array(b), pa.array(need)]
     h, row = h[~few], row[~few]
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     starts, ends = runs(row)
-    long_lists = lists.take(pa.array(row[starts]))
-    long_lists = long_lists.set_column(1, "h", pa.array([h[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()))
-
-    def widened(some: pa.Table) -> pa.Table:
-        return some.append_column("other", pa.nulls(some.num_rows, pa.int64())).append_column("need", pa.nulls(some.num_rows, pa.int64()))
-
-    return pa.concat_tables([widened(long_lists), widened(stars), pa.Table.from_arrays(pairs, names)])
+    packed = pa.array([h[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+    block = np.full(len(starts), table["block"][0].as_py() if table.num_rows else 0, np.int32)
+    none = pa.nulls(len(starts), pa.int64())
+    lists = [pa.array(block), packed, pa.array(doc[row[starts]]), pa.array(n[row[starts]]), none, none, none, none]
+    return pa.concat_tables([pa.Table.from_arrays(lists, names), pa.Table.from_arrays(pairs, names)])
 
 
 class Sketches:
@@ -523,20 +550,25 @@ def join(docs: DataFrame) -> DataFrame:
     same = written(full.join(written(same), "key").select("a", F.col("doc_id").alias("b"), "n").distinct())
     # Only representatives take part in pairs.
     chosen = written(same.where("a = b").select(F.col("a").alias("doc")))
-    product = written(postings(docs, frequent, blocks).groupBy("block").applyInArrow(multiply_short, PRODUCT))
-    stars = product.where("leader is not null").groupBy("doc", "leader").agg(F.sum("common").alias("common"))
-    stars = stars.join(chosen, "doc").join(chosen.withColumnRenamed("doc", "leader"), "leader")
+    rows_of = written(prefixes(docs, frequent))
+    # A few shingles of each prefix, the first by hash, find the document that it is first compared with.
+    probes = rows_of.join(chosen, "doc").select("doc", "n", F.col("doc").alias("component"), F.substring("h", 1, 8 * PROBES).alias("h"))
+    stars = postings(probes, blocks).groupBy("block").applyInArrow(multiply_stars, STARS).where("leader is not null")
+    stars = stars.groupBy("doc", "leader").agg(F.sum("common").alias("common"))
     best = stars.groupBy("doc").agg(F.max(F.struct("common", (-F.col("leader")).alias("l"))).alias("best"))
-    first = written(verified(docs, best.select((-F.col("best")["l"]).alias("a"), F.col("doc").alias("b"))))
+    first = written(verified(docs, written(best.select((-F.col("best")["l"]).alias("a"), F.col("doc").alias("b")))))
     known = written(components(same.select("a", "b").unionByName(first)))
 
     # An id that stands for several sets has no sketch.
     several = full.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     drawn = several.join(chosen, F.col("doc_id") == F.col("doc")).select("doc", "n", F.expr("if(k = l, sketch, null)").alias("sketch"))
     drawn = written(drawn)
+    # The matrix knows the components, so that lists and pairs within one of them are never made.
+    own = chosen.join(known, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("component"))
+    product = written(postings(rows_of.join(written(own), "doc"), blocks).groupBy("block").applyInArrow(multiply_short, PRODUCT))
     pairs = product.where("other is not null").groupBy(F.col("doc").alias("a"), F.col("other").alias("b"))
     pairs = written(pairs.agg(F.sum("common").alias("common"), F.min("need").alias("need")))
-    lists = product.where("leader is null and other is null").select("block", "h", "doc", "n")
+    lists = product.where("other is null").select("block", "h", "doc", "n")
     # Partners share as many lists as a link needs, so a document in fewer has none.
     held = lists.groupBy("doc").agg(F.sum(F.length("h") / 8).alias("held"), F.least(F.lit(COMMON), F.ceil(F.min("n") * NUMERATOR / DENOMINATOR)).alias("need"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"), F.col("common").alias("held")).groupBy("doc").agg(F.sum("held").alias("more"))
