@@ -101,7 +101,14 @@ class Pairs:
         ranks, made = np.full((n, width), NO_PAIR, np.int32), np.full((n, width), -1, np.int32)
         at = np.flatnonzero((symbols[:, 1:] != ABSENT).reshape(-1))
         row, place = at // max(width - 1, 1), at % max(width - 1, 1)
-        ranks[row, place], made[row, place] = self.lookup(symbols[row, place], symbols[row, place + 1])
+        if len(different) ** 2 <= len(at):
+            # Few characters: their pairs are looked up once.
+            every = np.repeat(numbers, len(numbers)), np.tile(numbers, len(numbers))
+            first = np.delete(np.arange(len(back)), np.cumsum(lengths) - 1)
+            pair = back[first] * len(numbers) + back[first + 1]
+            ranks[row, place], made[row, place] = (x[pair] for x in self.lookup(*every))
+        else:
+            ranks[row, place], made[row, place] = self.lookup(symbols[row, place], symbols[row, place + 1])
         after, before = (np.broadcast_to(np.arange(width, dtype=np.int32) + d, (n, width)).copy() for d in (1, -1))
         rows, own = np.arange(n), np.arange(n)
         done = np.zeros(n, bool)
@@ -158,8 +165,10 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) for p in self.ranks):
             raise ValueError("the vocabulary has pieces that go on over a space")
         self.pairs = Pairs(self.ranks)
-        # The id of each symbol that has one of its own; others have several, or are no symbol of a pair.
-        self.one_id = np.array([self.ranks.get(x, (0, -1))[1] for x in self.pairs.symbols], np.int32)
+        # The id of each symbol that has one id, else -1: by number, and from the end the 128 characters of one byte, by
+        # -1 - code point. The place before these stands for all other characters.
+        single = [*map(self.ids_of, self.pairs.symbols), (), *(self.ids_of(chr(c)) for c in range(127, -1, -1))]
+        self.one_id = np.array([x[0] if len(x) == 1 else -1 for x in single], np.int32)
         self.digits = [str(i) for i in range(size)]
         # Packed ids of parts, by the part without its first mark, and those too long to stay.
         self.cache: dict[str, bytes] = {}
@@ -224,24 +233,30 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> dict[str, bytes]:
         """Packed ids of each part."""
-        out = {}
-        short = sorted((p for p in parts if len(p) <= MATRIX_CHARS), key=len)
+        return dict(zip(parts, self.ids_each(parts)))
+
+    def ids_each(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of the parts, in their order."""
+        out = [b""] * len(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(lengths, kind="stable")
+        short = order[: np.searchsorted(lengths[order], MATRIX_CHARS, side="right")]
         for at in range(0, len(short), MATRIX_ROWS):
             some = short[at : at + MATRIX_ROWS]
-            for rows, symbols in self.pairs.merge(some):
+            for rows, symbols in self.pairs.merge([parts[i] for i in some.tolist()]):
                 there = symbols != ABSENT
-                ids = self.one_id[np.maximum(symbols, 0)]
-                plain = ((symbols >= 0) & (ids >= 0) | ~there).all(axis=1)
+                # Numbered symbols, then those of one byte without a number; any other is -1.
+                ids = self.one_id[np.where(there, np.maximum(symbols, -129), 0)]
+                plain = ((ids >= 0) | ~there).all(axis=1)
                 data, ends = ids[plain][there[plain]].tobytes(), 4 * np.cumsum(there[plain].sum(axis=1))
                 start = 0
-                for row, end in zip(rows[plain].tolist(), ends.tolist()):
-                    out[some[row]] = data[start:end]
+                for place, end in zip(some[rows[plain]].tolist(), ends.tolist()):
+                    out[place] = data[start:end]
                     start = end
                 for i in np.flatnonzero(~plain):
                     out[some[rows[i]]] = b"".join(map(self.ids_at, symbols[i][there[i]].tolist()))
-        for part in parts:
-            if len(part) > MATRIX_CHARS:
-                out[part] = self.packed(self.merge(part))
+        for place in order[len(short) :].tolist():
+            out[place] = self.packed(self.merge(parts[place]))
         return out
 
     def found(self, keys: set[str]) -> dict[str, bytes]:
@@ -251,7 +266,8 @@ class Encoder:
         new = keys.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_PARTS:
             self.cache = {key: self.cache[key] for key in keys - new}
-        self.cache.update((part[1:], ids) for part, ids in self.learn([MARK + key for key in new]).items())
+        parts = [MARK + key for key in new]
+        self.cache.update(zip(new, self.learn(parts).values()))
         self.long = [key for key in new if len(key) >= CACHE_CHARS]
         return self.cache
 

@@ -1,4 +1,4 @@
-"""The Jaccard product between components."""
+"""The Jaccard product between components, and characters of one byte that are no piece."""
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +6,7 @@ from tests.llm.test_llm_brute_force import table
 from tests.llm.test_llm_round4 import column_block
 from tests.llm.test_llm_sketches import family
 
-from foldcurve.llm import jaccard
+from foldcurve.llm import jaccard, pieces
 
 
 def in_components(sets, components):
@@ -42,3 +42,20 @@ def test_blocks_hold_every_first_shingle_once(spark):
         assert (jaccard.block_of(h, 7) == r.block).all() and (component == doc + 100).all()
         found += zip(doc.tolist(), n.tolist(), h.tolist())
     assert sorted(found) == sorted((i, n, h) for i, (n, hashes) in first.items() for h in hashes)
+
+
+def test_characters_of_one_byte_need_no_list_of_their_own(monkeypatch):
+    own = pieces.Encoder(pieces.model_path())
+    texts = ["one.\nTwo\tthree \n\n four\x7f\x00 five", "a\nb", "".join(map(chr, range(128))) + " z"]
+    want = [own.library.encode(t) for t in [*texts, "é\x80\n你 \U0001f600"]]
+    real = own.ids_at
+    monkeypatch.setattr(own, "ids_at", None)
+    # Parts of up to MATRIX_CHARS characters go without it.
+    assert [ids.tolist() for ids in own.encode_all(texts)] == want[:3]
+    monkeypatch.setattr(own, "ids_at", real)
+    assert own.encode("é\x80\n你 \U0001f600") == want[3]
+    # Few and many characters for the pairs of a matrix.
+    draw = np.random.default_rng(12)
+    for letters in ("abce", "".join(map(chr, range(0x4E00, 0x4F00))) + "the in"):
+        some = ["".join(draw.choice(list(letters), draw.integers(1, 30))) for _ in range(40)]
+        assert [ids.tolist() for ids in own.encode_all(some)] == [own.library.encode(t) for t in some]
