@@ -1,8 +1,9 @@
-"""Counts of characters in texts."""
+"""Counts of characters in texts, and searches whose copies go to more tasks."""
 
 import random
 import re
 
+from foldcurve.operators import neighbors
 from foldcurve.plans import model_queries
 
 
@@ -22,3 +23,18 @@ def test_text_counts_are_those_of_their_patterns_and_copy_no_text_per_match(spar
         n = max(len(t), 1)
         assert got[i].n_lines == t.count("\n") + 1
         assert (got[i].digits, got[i].capitals, got[i].marks) == tuple(len(re.findall(p, t)) / n for p in ("[0-9]", "[A-Z]", "[^A-Za-z0-9 ]"))
+
+
+def test_copies_of_searched_rows_go_to_more_tasks(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = spark.createDataFrame([(i, i % 2, [draw.gauss(0, 1) for _ in range(6)]) for i in range(300)], "row_id long, y int, features array<double>")
+
+    def found():
+        return sorted((r.row_id, r.rank, r.neighbor, r.distance) for r in near.collect())
+
+    near = neighbors.nearest_neighbors(rows, rows, 3, n_pivots=12, block=16)
+    want, few = found(), near.rdd.getNumPartitions()
+    monkeypatch.setattr(neighbors, "TASK_ROWS", 100)
+    near = neighbors.nearest_neighbors(rows, rows, 3, n_pivots=12, block=16)
+    assert found() == want
+    assert near.rdd.getNumPartitions() > max(few, 8)
