@@ -250,7 +250,7 @@ def prefixes(docs: DataFrame, frequent) -> DataFrame:
     return ids_and_texts(docs).mapInArrow(run, "doc long, n long, h binary")
 
 
-#: Columns of a block's packed entries, besides their hashes.
+#: Columns of a block's packed entries, besides their hashes. The component is packed less the document.
 ENTRY = {"doc": np.int64, "n": np.int32, "component": np.int64}
 
 
@@ -266,7 +266,10 @@ def postings(rows: DataFrame, blocks: int) -> DataFrame:
             order = np.argsort(block, kind="stable")
             h, row, block = h[order], row[order], block[order]
             starts, ends = runs(block)
-            entries = [h, *(batch.column(c).to_numpy().astype(kind)[row] for c, kind in ENTRY.items())]
+            values = {c: batch.column(c).to_numpy() for c in ENTRY}
+            # Most documents are a component by themselves: the distance to it packs well.
+            values["component"] = values["component"] - values["doc"]
+            entries = [h, *(values[c].astype(kind)[row] for c, kind in ENTRY.items())]
             columns = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in entries]
             yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], ["block", "h", *ENTRY])
 
@@ -331,7 +334,7 @@ def multiply_short(table: pa.Table) -> pa.Table:
     common), and the long lists of several components, a row per document. Without components, each document is one."""
     names = [c.split()[0] for c in PRODUCT.split(", ")]
     h, doc, n = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("h", np.uint64), ("doc", np.int64), ("n", np.int32)))
-    component = np.frombuffer(b"".join(table["component"].to_pylist()), np.int64) if "component" in table.column_names else doc
+    component = doc + np.frombuffer(b"".join(table["component"].to_pylist()), np.int64) if "component" in table.column_names else doc
     order = np.lexsort((n, h))
     h, doc, n, component = h[order], doc[order], n[order].astype(np.int64), component[order]
     # By size, a partner of any size that fits means that the next one on some side fits.
@@ -552,7 +555,7 @@ def join(docs: DataFrame) -> DataFrame:
     chosen = written(same.where("a = b").select(F.col("a").alias("doc")))
     rows_of = written(prefixes(docs, frequent))
     # A few shingles of each prefix, the first by hash, find the document that it is first compared with.
-    probes = rows_of.join(chosen, "doc").select("doc", "n", F.col("doc").alias("component"), F.substring("h", 1, 8 * PROBES).alias("h"))
+    probes = rows_of.select("doc", "n", F.col("doc").alias("component"), F.substring("h", 1, 8 * PROBES).alias("h")).join(chosen, "doc")
     stars = postings(probes, blocks).groupBy("block").applyInArrow(multiply_stars, STARS).where("leader is not null")
     stars = stars.groupBy("doc", "leader").agg(F.sum("common").alias("common"))
     best = stars.groupBy("doc").agg(F.max(F.struct("common", (-F.col("leader")).alias("l"))).alias("best"))
