@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from foldcurve.operators import neighbors
 from foldcurve.plans import evaluate as evaluation
 from foldcurve.plans import stacked, stacked_neighbors
 from foldcurve.plans.evaluate import evaluate
@@ -64,3 +65,37 @@ def test_a_row_behind_equal_ones_in_every_fold_is_not_searched():
         for low, high in ((0, 200), (200, 201), (201, 231)):
             want |= set(trained[(trained >= low) & (trained < high)][:4].tolist())
     assert set(kept.tolist()) - {200} == want - {200} and len(kept) < 100
+
+
+def test_a_crowded_search_copies_no_row_for_a_block(spark, monkeypatch):
+    """Blocks meet in tasks that read them; several parts of the training rows, ties, a label that is missing."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 5)).astype("float32").astype(float)
+    x[200:260] = x[5]
+    x[260:] += 0.1
+    data = [(i, i % 4, [float(v) for v in r], None if i == 5 else i % 2) for i, r in enumerate(x)]
+    rows = spark.createDataFrame(data, "row_id long, part int, features array<double>, y int").repartition(9)
+    monkeypatch.setattr(neighbors, "CROWDED", -1.0)
+    for read, apart in ((1 << 23, None), (300, "part")):
+        monkeypatch.setattr(neighbors, "READ", read, raising=False)
+        near = neighbors.nearest_neighbors(rows, rows, 4, part=apart, block=32)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "FlatMapCoGroups" not in plan
+        got = {}
+        for r in near.collect():
+            got.setdefault(r.row_id, []).append((r["rank"], r.neighbor, r.distance, r.y))
+        away = neighbors.manhattan(x, x)
+        for i in range(300):
+            far = np.where(np.arange(300) % 4 != i % 4, away[i], np.inf) if apart else away[i]
+            want = far.argsort(kind="stable")[:4]
+            assert [g[1:] for g in sorted(got[i])] == [(j, far[j], data[j][3]) for j in want.tolist()]
+
+
+def test_a_bound_of_the_search_excludes_rows_without_their_ranks():
+    rng = np.random.default_rng(3)
+    asks, points = rng.normal(size=(50, 64)), rng.normal(size=(500, 64))
+    exact = neighbors.manhattan(asks, points)
+    bound = np.sort(exact, axis=1)[:, 2]
+    ask, point, distance, compared = neighbors.nearest_in_block(asks, points, 5, None, bound)
+    assert compared < 0.05 * exact.size
+    assert {(a, p) for a, p in zip(*np.nonzero(exact <= bound[:, None]))} <= set(zip(ask.tolist(), point.tolist()))
