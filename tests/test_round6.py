@@ -99,3 +99,19 @@ def test_a_bound_of_the_search_excludes_rows_without_their_ranks():
     ask, point, distance, compared = neighbors.nearest_in_block(asks, points, 5, None, bound)
     assert compared < 0.05 * exact.size
     assert {(a, p) for a, p in zip(*np.nonzero(exact <= bound[:, None]))} <= set(zip(ask.tolist(), point.tolist()))
+
+
+def test_scores_of_a_crowded_search_are_votes_of_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(120, 6)), rng.integers(0, 2, 120)
+    rows = spark.createDataFrame([(i, i % 5, [float(v) for v in r], int(y[i])) for i, r in enumerate(x)], "row_id long, part int, features array<double>, y int")
+    monkeypatch.setattr(neighbors, "CROWDED", -1.0)
+    monkeypatch.setattr(neighbors, "READ", 200, raising=False)
+    scores = neighbors.knn_scores(rows, rows, 5, part="part", block=16)
+    assert "Generate" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.row_id: (r.p, r.yhat) for r in scores.collect()}
+    away = np.where(np.arange(120)[:, None] % 5 != np.arange(120) % 5, neighbors.manhattan(x, x), np.inf)
+    for i in range(120):
+        near = away[i].argsort()[:5]
+        p = (y[near] / away[i, near]).sum() / (1 / away[i, near]).sum()
+        assert got[i] == (pytest.approx(p), int(p > 0.5))
